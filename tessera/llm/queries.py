@@ -27,6 +27,12 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, listed)
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack
 
@@ -45,7 +51,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op6_best_fit_packing, op7_benchmark_decontamination, op10_license_scans)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash_near_dedup, op6_best_fit_packing, op7_benchmark_decontamination, op10_license_scans)}
 _REST = "CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END"
 SQL: dict[str, str] = {
     "op1_url_filters": rf"""
