@@ -45,13 +45,19 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.langid import predict
+
+    return predict(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.license import scan
 
     return scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash_near_dedup, op6_best_fit_packing, op7_benchmark_decontamination, op10_license_scans)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash_near_dedup, op6_best_fit_packing, op7_benchmark_decontamination, op8_language_id, op10_license_scans)}
 _REST = "CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END"
 SQL: dict[str, str] = {
     "op1_url_filters": rf"""
