@@ -33,6 +33,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.htmltext import extract
 
@@ -63,7 +69,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash_near_dedup, op5_html_extraction, op6_best_fit_packing, op7_benchmark_decontamination, op8_language_id, op10_license_scans)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash_near_dedup, op3_nearest_neighbours, op5_html_extraction, op6_best_fit_packing, op7_benchmark_decontamination, op8_language_id, op10_license_scans)}
 _REST = "CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END"
 SQL: dict[str, str] = {
     "op1_url_filters": rf"""
