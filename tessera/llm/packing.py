@@ -29,59 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.tokens import run_ids
 from tessera.session import cut
 
-SEQUENCE, GROUP, NODES = 2048, 16384, 4000
-CACHE = 400_000
-_TOKENIZERS: dict[str, object] = {}
-_SPACES = bytes(32 if c in b"\t\n\r " else c for c in range(256))
-
-
-class WordIds(dict):
-    """Token ids (little-endian uint32 bytes) of a run of text without ASCII blanks.
-
-    The tokenizer splits at white space before anything else, so runs between
-    blanks can be encoded alone; what it has seen is kept, up to ``CACHE`` runs.
-    """
-
-    def __init__(self, path: str):
-        super().__init__()
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-
-    def __missing__(self, run: bytes) -> bytes:
-        ids = self.tok.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = np.asarray(ids, dtype="<u4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        self[run] = out
-        return out
-
-
-def word_ids(path: str) -> WordIds:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
-    return _TOKENIZERS[path]
-
-
-def token_bytes(text: bytes | None, ids: WordIds, end_id: int = 0) -> bytes:
-    """All ids of a document and its end id, 4 bytes each."""
-    runs = (text or b"").translate(_SPACES).split(b" ")
-    return b"".join(map(ids.__getitem__, filter(None, runs))) + end_id.to_bytes(4, "little")
-
+SEQUENCE, GROUP, NODES, OPEN_BINS = 2048, 16384, 600, 48
 
 def pieces(documents: DataFrame, tokenizer: str, *, size: int = SEQUENCE, text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def cut_up(batches):
-        ids = word_ids(tokenizer)
+        ids = run_ids(tokenizer)
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for r, t in enumerate(b.column(1)):
-                t = t.as_buffer()
-                data = memoryview(token_bytes(t.to_pybytes() if t is not None else None, ids))
+            for r, data in enumerate(ids.encode(b.column(1).to_pylist())):
+                data = memoryview(data)
                 for k, at in enumerate(range(0, len(data), 4 * size)):
                     part = data[at : at + 4 * size]
                     row.append(r), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
@@ -166,18 +128,34 @@ def completions(first: int, kinds: list[int], left: Counter, size: int, most: in
 
 
 def pack_lengths(lengths: list[int], size: int = SEQUENCE, nodes: int = NODES) -> list[list[int]]:
-    """Bins of lengths, as few as found: best-fit decreasing, then bin completion while that can still help."""
+    """Bins of lengths, as few as found: best-fit decreasing, then bin completion while that can still help.
+
+    Bin completion searches the ``OPEN_BINS`` incumbent bins with most waste:
+    bins that best fit has filled without waste stay as they are, since the
+    bound on the whole is met as soon as these are packed one bin tighter.
+    """
     full = [[x] for x in lengths if x >= size]
-    rest = [x for x in lengths if x < size]
-    best = best_fit(rest, size)
-    bound = -(-sum(rest) // size)
+    best = best_fit([x for x in lengths if x < size], size)
+    bound = -(-sum(map(sum, best)) // size)
+    while len(best) > bound:
+        best.sort(key=lambda b: sum(b))
+        few = best[:OPEN_BINS]
+        better = complete([x for b in few for x in b], few, size, nodes)
+        if len(better) == len(few):
+            break
+        best = better + best[OPEN_BINS:]
+    return full + best
+
+
+def complete(rest: list[int], incumbent: list[list[int]], size: int, nodes: int) -> list[list[int]]:
+    """Branch and bound over bins; ``incumbent`` if no packing of fewer bins is found within ``nodes`` fillings."""
+    best, bound = incumbent, -(-sum(rest) // size)
     if len(best) <= bound:
-        return full + best
+        return best
     total, left, spent = sum(rest), Counter(rest), 0
     kinds = sorted(left)
     done: list[list[int]] = []
-    # depth-first with an explicit stack: each level holds the fillings not yet tried
-    stack: list[list[list[int]]] = []
+    stack: list[list[list[int]]] = []  # each level holds the fillings not yet tried
     waste = 0
     goal = len(best) - 1  # a packing must have so many bins at most to be better
 
@@ -185,14 +163,13 @@ def pack_lengths(lengths: list[int], size: int = SEQUENCE, nodes: int = NODES) -
         for x in filling:
             before = left[x]
             left[x] = before - sign
-            if before == 0 or left[x] == 0:
-                if left[x] == 0:
-                    kinds.pop(bisect_left(kinds, x))
-                elif before == 0:
-                    insort(kinds, x)
+            if left[x] == 0:
+                kinds.pop(bisect_left(kinds, x))
+            elif before == 0:
+                insort(kinds, x)
 
     descend = True
-    while spent < nodes + len(rest):
+    while spent < nodes:
         if descend:
             if not kinds:
                 best = [list(b) for b in done]
@@ -203,8 +180,6 @@ def pack_lengths(lengths: list[int], size: int = SEQUENCE, nodes: int = NODES) -
                 continue
             first = kinds[-1]
             stack.append([[first, *c] for c in completions(first, kinds, left, size, 6)][::-1])
-        if not stack:
-            break
         if len(done) == len(stack):  # undo the level's last choice
             old = done.pop()
             take(old, -1)
@@ -220,9 +195,8 @@ def pack_lengths(lengths: list[int], size: int = SEQUENCE, nodes: int = NODES) -
         take(filling, 1)
         done.append(filling)
         waste += size - sum(filling)
-        # all waste of a better packing is goal * size - total at most
-        descend = waste <= goal * size - total
-    return full + best
+        descend = waste <= goal * size - total  # all the waste that a better packing can have
+    return best
 
 
 def place(length: np.ndarray, size: int, nodes: int) -> tuple[np.ndarray, np.ndarray]:

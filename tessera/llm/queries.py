@@ -63,13 +63,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.license import scan
 
     return scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash_near_dedup, op3_nearest_neighbours, op5_html_extraction, op6_best_fit_packing, op7_benchmark_decontamination, op8_language_id, op10_license_scans)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash_near_dedup, op3_nearest_neighbours, op5_html_extraction, op6_best_fit_packing, op7_benchmark_decontamination, op8_language_id, op9_lm_scoring, op10_license_scans)}
 _REST = "CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END"
 SQL: dict[str, str] = {
     "op1_url_filters": rf"""
