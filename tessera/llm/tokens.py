@@ -15,17 +15,18 @@ import numpy as np
 CACHE = 900_000
 _SPACES = bytes(32 if c in b"\t\n\r " else c for c in range(256))
 _MARK = "⌘"
-_OPEN: dict[str, RunIds] = {}
+_OPEN: dict[tuple[str, bool], RunIds] = {}
 
 
 class RunIds:
     """Run -> its ids as little-endian uint32 bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = plain  # special tokens' strings are then ordinary text
         self.mark = np.asarray(self._ids(_MARK), dtype="<u4")
         self.known: dict[bytes, bytes] = {}
 
@@ -72,7 +73,7 @@ class RunIds:
                 yield b"".join(map(get, runs)) + end
 
 
-def run_ids(path: str) -> RunIds:
-    if path not in _OPEN:
-        _OPEN[path] = RunIds(path)
-    return _OPEN[path]
+def run_ids(path: str, plain: bool = False) -> RunIds:
+    if (path, plain) not in _OPEN:
+        _OPEN[path, plain] = RunIds(path, plain)
+    return _OPEN[path, plain]
