@@ -39,6 +39,13 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, counted in flat token files that are written for it first; 49407 ends a document."""
+    from tessera.llm.tokencount import count_documents
+
+    return count_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 49407)
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.htmltext import extract
 
@@ -75,7 +82,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash_near_dedup, op3_nearest_neighbours, op5_html_extraction, op6_best_fit_packing, op7_benchmark_decontamination, op8_language_id, op9_lm_scoring, op10_license_scans)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash_near_dedup, op3_nearest_neighbours, op4_token_counts, op5_html_extraction, op6_best_fit_packing, op7_benchmark_decontamination, op8_language_id, op9_lm_scoring, op10_license_scans)}
 _REST = "CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END"
 SQL: dict[str, str] = {
     "op1_url_filters": rf"""

@@ -231,12 +231,17 @@ def near_duplicates(documents: DataFrame, *, near: int = THRESHOLD, text_col: st
 
 
 def keep_one(documents: DataFrame, *, near: int = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id, with all its columns."""
+    """One document of each group of near-duplicates, the one with the smallest doc_id, with all its columns.
+
+    Rows that repeat both id and text are one document; rows without an id
+    cannot be named as a group's one and are all kept.
+    """
     from pyspark.sql import Window
 
-    marked = near_duplicates(documents, near=near, text_col=text_col)
-    stays = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = documents.join(stays, documents["doc_id"].eqNullSafe(stays["_stays"]), "left_semi")
-    # rows that repeat a doc_id are copies of one another
-    w = Window.partitionBy("doc_id").orderBy(F.lit(1))
-    return kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*[F.col(f"`{c}`") for c in documents.columns])
+    named = documents.where(F.col("doc_id").isNotNull())
+    marked = near_duplicates(named, near=near, text_col=text_col)
+    stays = marked.where("doc_id = component_id").select("doc_id").distinct()
+    # clustered by doc_id already, so numbering repeated rows shuffles nothing more
+    w = Window.partitionBy("doc_id", F.xxhash64(text_col)).orderBy(F.lit(1))
+    kept = named.join(stays.hint("shuffle_hash"), "doc_id", "left_semi").withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    return kept.select(*[F.col(f"`{c}`") for c in documents.columns]).unionByName(documents.where(F.col("doc_id").isNull()))
