@@ -1 +1,5 @@
+"""Registered queries: each module has ``QUERIES`` and ``SQL``."""
 
+from tessera.plans import retrieval
+
+ALL = (retrieval,)
