@@ -15,6 +15,7 @@ import numpy as np
 CACHE = 900_000
 _SPACES = bytes(32 if c in b"\t\n\r " else c for c in range(256))
 _MARK = "⌘"
+_PUNCTUATION = b"!#$%&()*+,-./:;=?@[]^_`{|}~"  # not the apostrophe, which can begin a word, nor what special tokens hold
 _OPEN: dict[tuple[str, bool], RunIds] = {}
 
 
@@ -28,15 +29,49 @@ class RunIds:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = plain  # special tokens' strings are then ordinary text
         self.mark = np.asarray(self._ids(_MARK), dtype="<u4")
+        vocab = self.tok.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
     def _learn(self, runs: list[bytes]) -> None:
+        """Three ways: letters only are one word each; letters and then punctuation are two; the rest go between marks."""
+        known = self.known
+        words, split, rest = {}, [], []
+        for r in runs:
+            base = r.rstrip(_PUNCTUATION)
+            text = base.decode("utf-8", "replace").lower()
+            if not text.isalpha() or len(text) > 200:
+                rest.append(r)
+                continue
+            if base not in known:
+                words[base] = text
+            if len(base) < len(r):
+                split.append((r, base))
+        w = list(words)
+        for at in range(0, len(w), 4000):
+            part = w[at : at + 4000]
+            ids = np.asarray(self.tok.encode_batch_fast([" ".join([words[x] for x in part])], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(part) and (not len(ids) or ends[-1] == len(ids)):
+                data, ends = ids.tobytes(), (4 * ends).tolist()
+                for x, i, j in zip(part, [0, *ends], ends):
+                    known[x] = data[i:j]
+            else:
+                rest += part
+        self._between_marks(rest)
+        tails = {r[len(base) :] for r, base in split}
+        self._between_marks([t for t in tails if t not in known])
+        for r, base in split:
+            known[r] = known[base] + known[r[len(base) :]]
+
+    def _between_marks(self, runs: list[bytes]) -> None:
         known, m = self.known, len(self.mark)
         for at in range(0, len(runs), 4000):
-            part = [r for r in runs[at : at + 4000]]
+            part = runs[at : at + 4000]
             texts = [r.decode("utf-8", "replace") for r in part]
             safe = [i for i, t in enumerate(texts) if _MARK not in t and len(t) < 200]
             ids = np.asarray(self.tok.encode_batch_fast([f" {_MARK} ".join(["", *(texts[i] for i in safe), ""])], add_special_tokens=False)[0].ids, dtype="<u4")

@@ -1,5 +1,5 @@
 """Registered queries: each module has ``QUERIES`` and ``SQL``."""
 
-from tessera.plans import retrieval
+from tessera.plans import graphs, retrieval
 
-ALL = (retrieval,)
+ALL = (retrieval, graphs)

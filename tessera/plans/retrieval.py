@@ -102,7 +102,7 @@ def source_quota(spark: SparkSession, d: str) -> DataFrame:
 def exact_symbol(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", "p_name")
     name = F.substring_index("p_name", " ", -1)
-    s = R.symbol_strength(F.replace("p_name", F.lit(" "), F.lit(".")), name, "green")
+    s = R.symbol_strength(F.replace("p_name", F.lit(" "), F.lit(".")), name, "widget")
     return p.select("p_partkey", s.cast("int").alias("strength")).where("strength IS NOT NULL")
 
 
@@ -245,7 +245,7 @@ SQL = {
     "quota_fair": _FUSED + "SELECT id AS doc_id, project, rank, q > 3 AS deferred, row_number() OVER (ORDER BY q > 3, rank) AS position FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY rank) AS q FROM fu)",
     "wave_order": _FUSED + "SELECT id AS doc_id, project, wave, row_number() OVER (ORDER BY wave, rank) AS position FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY rank) AS wave FROM fu)",
     "source_quota": _FUSED + "SELECT s AS source, project, id AS doc_id, source_rank FROM (SELECT li.source AS s, d.source AS project, li.id, li.source_rank, row_number() OVER (PARTITION BY li.source, d.source ORDER BY li.source_rank) AS q FROM li JOIN documents d ON d.doc_id = li.id) WHERE q <= 5",
-    "exact_symbol": "SELECT * FROM (SELECT p_partkey, CASE WHEN replace(p_name, ' ', '.') = 'green' THEN 6 WHEN lower(replace(p_name, ' ', '.')) = 'green' THEN 4 WHEN string_split(p_name, ' ')[-1] = 'green' THEN 3 WHEN lower(string_split(p_name, ' ')[-1]) = 'green' THEN 2 END AS strength FROM part) WHERE strength IS NOT NULL",
+    "exact_symbol": "SELECT * FROM (SELECT p_partkey, CASE WHEN replace(p_name, ' ', '.') = 'widget' THEN 6 WHEN lower(replace(p_name, ' ', '.')) = 'widget' THEN 4 WHEN string_split(p_name, ' ')[-1] = 'widget' THEN 3 WHEN lower(string_split(p_name, ' ')[-1]) = 'widget' THEN 2 END AS strength FROM part) WHERE strength IS NOT NULL",
     "exact_path": "SELECT * FROM (SELECT page_id, CASE WHEN path = 'en/8' THEN 6 WHEN ends_with(path, '/en/8') THEN 5 END AS a, CASE WHEN path = '148.html' THEN 6 WHEN string_split(path, '/')[-1] = '148.html' THEN 3 END AS b FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages)) WHERE a IS NOT NULL OR b IS NOT NULL",
     "vector_knn": "SELECT vec_id, distance, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM (SELECT vec_id, round(1 - list_cosine_similarity(embedding::double[], (SELECT embedding::double[] FROM embeddings WHERE vec_id = 0)), 6) AS distance FROM embeddings ORDER BY 2, 1 LIMIT 20)",
     "vector_by_profile": "WITH q AS (SELECT label, min_by(embedding, vec_id) AS q FROM embeddings GROUP BY 1) SELECT * FROM (SELECT label, vec_id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (SELECT label, vec_id, round(list_cosine_similarity(embedding::double[], q::double[]), 6) AS score FROM embeddings JOIN q USING (label))) WHERE rank <= 5",
