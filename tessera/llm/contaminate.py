@@ -13,10 +13,10 @@ blocks of that size, and documents pass one scan per block; the hits travel in
 a column, so no shuffle is needed for any size.
 
 Defined cases: null or wordless text has no words and is never hit; an item
-without words has no window; items with equal windows are all reported;
-repeated rows are each reported; an empty benchmark marks nothing; extra
-columns of ``documents`` are ignored by ``decontaminate`` and kept by
-``drop_contaminated``.
+without words has no window; items with equal windows are all reported; an item
+without an id hits words but is not listed; repeated rows are each reported; an
+empty benchmark marks nothing; extra columns of ``documents`` are ignored by
+``decontaminate`` and kept by ``drop_contaminated``, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
 
-def windows_of(items: list[tuple[str, bytes | None]], window: int = WINDOW) -> dict[str, tuple[int, tuple[str, ...]]]:
-    """Pattern (words between blanks, a byte as a character) -> words in it, items that hold it."""
+def windows_of(items: list[tuple[str | None, bytes | None]], window: int = WINDOW) -> dict[str, tuple[int, tuple[str, ...]]]:
+    """Pattern (words between blanks, a byte as a character) -> words in it, items that hold it (those with an id)."""
     found: dict[str, tuple[int, set[str]]] = {}
     for item, text in items:
         w = words_of(text)
@@ -52,7 +52,7 @@ def windows_of(items: list[tuple[str, bytes | None]], window: int = WINDOW) -> d
         m = min(window, len(w))
         for i in range(len(w) - m + 1):
             key = f" {b' '.join(w[i : i + m]).decode('latin-1')} "
-            found.setdefault(key, (m, set()))[1].add(item)
+            found.setdefault(key, (m, set()))[1].update(() if item is None else (item,))
     return {k: (m, tuple(sorted(s))) for k, (m, s) in found.items()}
 
 
@@ -121,7 +121,7 @@ def benchmark_blocks(
     n = max(1, -(-int(total) // max_block_bytes))
     for k in range(n):
         part = b if n == 1 else b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield windows_of([(r["i"], bytes(r["t"]) if r["t"] is not None else None) for r in part.toLocalIterator() if r["i"] is not None], window)
+        yield windows_of([(r["i"], bytes(r["t"]) if r["t"] is not None else None) for r in part.toLocalIterator()], window)
 
 
 _HITS = "_hit_words binary, _hit_items array<string>, _hit_spans array<struct<start:int,end:int>>, _n_words bigint"
@@ -187,7 +187,16 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> Data
     return marked.mapInArrow(tell, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that no benchmark window occurs in, with all their columns."""
-    m = mark(documents, benchmark, **options)
-    return m.where(F.col("_hit_words").isNull()).select(*[F.col(f"`{c}`") for c in documents.columns])
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES, text_col: str = "text") -> DataFrame:
+    """The documents that no benchmark window occurs in, with all their columns: one filter a block of the benchmark."""
+    df = documents
+    for patterns in benchmark_blocks(benchmark, window, max_block_bytes):
+
+        def clean(batches, patterns=patterns):
+            auto = _automaton(patterns)
+            for b in batches:
+                texts = b.column(b.schema.get_field_index(text_col)).cast(pa.binary())
+                yield b.filter(pa.array([not scan_text(auto, t.as_buffer().to_pybytes() if t.is_valid else None)[1] for t in texts], pa.bool_()))
+
+        df = df.mapInArrow(clean, documents.schema)
+    return df

@@ -101,16 +101,17 @@ class EliasFano:
         return [self.n, self.low_bits], [self.low, self.high]
 
 
-STEPS_PER_DECADE = 24
+EXACT, STEPS_PER_DECADE = 127, 16
 
 
 def quantise(count: np.ndarray) -> np.ndarray:
-    """A count as one byte: log10 in steps of 1/24, rounded down."""
-    return np.minimum(255, 1 + np.floor(np.log10(np.maximum(count, 1)) * STEPS_PER_DECADE + 1e-9)).astype(np.uint8) * (count > 0)
+    """A count as one byte: itself up to ``EXACT``, then log10 in steps of 1/16, rounded down, up to 10^10 and more."""
+    steps = np.floor(np.log10(np.maximum(count, EXACT) / EXACT) * STEPS_PER_DECADE + 1e-9)
+    return np.where(count <= EXACT, count, np.minimum(255, EXACT + steps)).astype(np.uint8)
 
 
 def dequantise(code: np.ndarray) -> np.ndarray:
-    table = np.concatenate([[0.0], 10.0 ** (np.arange(255) / STEPS_PER_DECADE)])
+    table = np.concatenate([np.arange(EXACT), EXACT * 10.0 ** (np.arange(256 - EXACT) / STEPS_PER_DECADE)])
     return table[code]
 
 

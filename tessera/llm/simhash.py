@@ -243,5 +243,6 @@ def keep_one(documents: DataFrame, *, near: int = THRESHOLD, text_col: str = "te
     stays = marked.where("doc_id = component_id").select("doc_id").distinct()
     # clustered by doc_id already, so numbering repeated rows shuffles nothing more
     w = Window.partitionBy("doc_id", F.xxhash64(text_col)).orderBy(F.lit(1))
-    kept = named.join(stays.hint("shuffle_hash"), "doc_id", "left_semi").withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    number = "_n" + "_" * max(map(len, documents.columns))  # a name that no column has
+    kept = named.join(stays.hint("shuffle_hash"), "doc_id", "left_semi").withColumn(number, F.row_number().over(w)).where(F.col(number) == 1)
     return kept.select(*[F.col(f"`{c}`") for c in documents.columns]).unionByName(documents.where(F.col("doc_id").isNull()))
