@@ -15,7 +15,7 @@ from tessera.session import cut
 
 
 def connected_components(links: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, root) for every node of ``links`` (a, b); root is the smallest node reachable."""
+    """(node, root) for every node of ``links`` (a, b) but the roots; root is the smallest node reachable."""
     e = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut(e)
     for _ in range(rounds):
