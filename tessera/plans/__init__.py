@@ -1,5 +1,5 @@
 """Registered queries: each module has ``QUERIES`` and ``SQL``."""
 
-from tessera.plans import graphs, retrieval
+from tessera.plans import graphs, retrieval, services
 
-ALL = (retrieval, graphs)
+ALL = (retrieval, graphs, services)

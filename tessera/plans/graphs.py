@@ -229,10 +229,11 @@ QUERIES = {f.__name__: f for f in (
     as_of_files, files_page, snapshot_diff, rename_detect, apply_interval_changes, prune_intervals, activate_generation, overlay_shadow, co_change, merkle_root, embedding_coverage, missing_embeddings, symbol_changes,
     file_history, graph_walk, graph_walk_both, graph_bfs, fan_out_round_robin, impact_risk, impact_projects, flow_paths, insight_orphan, insight_drift, missing_locale, edge_merge, contract_parties, module_rollup)}
 
-_IMPACT = f"""WITH RECURSIVE {_E}, st AS (SELECT dst AS cur, src AS to_, ev, res, id, kind FROM e WHERE kind <> 'tests' UNION ALL SELECT src, dst, ev, res, id, kind FROM e WHERE kind = 'exposes'),
-w(node, weakest, flagged, hops, max_res, via) AS (SELECT 's3', 0, 0, 0, 0, []::varchar[] UNION ALL SELECT to_, greatest(weakest, ev), flagged + (ev >= 3 OR res > 0)::int, hops + 1, greatest(max_res, res), list_append(via, id) FROM w JOIN st ON cur = node WHERE hops < 3),
-b AS (SELECT node, min(struct_pack(weakest, flagged, hops, via, max_res)) AS k FROM w GROUP BY node),
-i AS (SELECT node, k.weakest AS weakest, k.flagged AS flagged, k.hops AS hops, CASE WHEN k.max_res = 2 THEN 'unknown' WHEN k.max_res = 1 OR k.weakest >= 3 THEN 'low' WHEN k.weakest = 2 OR k.hops > 2 THEN 'medium' ELSE 'high' END AS risk FROM b WHERE k.hops > 0)"""
+_STEP = """x{k} AS (SELECT node, k FROM b{j} UNION ALL SELECT to_, struct_pack(weakest := greatest(k.weakest, ev), flagged := k.flagged + (ev >= 3 OR res > 0)::int, hops := k.hops + 1, via := list_append(k.via, id), max_res := greatest(k.max_res, res)) FROM b{j} JOIN st ON cur = node),
+b{k} AS (SELECT node, min(k) AS k FROM x{k} GROUP BY node)"""
+_IMPACT = f"""WITH {_E}, st AS (SELECT dst AS cur, src AS to_, ev, res, id, kind FROM e WHERE kind <> 'tests' UNION ALL SELECT src, dst, ev, res, id, kind FROM e WHERE kind = 'exposes'),
+b0 AS (SELECT 's3' AS node, struct_pack(weakest := 0, flagged := 0, hops := 0, via := []::varchar[], max_res := 0) AS k), {", ".join(_STEP.format(k=k, j=k - 1) for k in (1, 2, 3))},
+i AS (SELECT node, k.weakest AS weakest, k.flagged AS flagged, k.hops AS hops, CASE WHEN k.max_res = 2 THEN 'unknown' WHEN k.max_res = 1 OR k.weakest >= 3 THEN 'low' WHEN k.weakest = 2 OR k.hops > 2 THEN 'medium' ELSE 'high' END AS risk FROM b3 WHERE k.hops > 0)"""
 
 SQL = {
     "as_of_files": f"WITH {_V} {_AT.format(g=1000)}",
