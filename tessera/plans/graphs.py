@@ -129,8 +129,8 @@ def file_history(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     """Customers place orders, orders hold parts, parts come from suppliers, suppliers live in nations."""
-    li = table(spark, d, "lineitem").where("l_orderkey < 2000")
-    o = table(spark, d, "orders").where("o_orderkey < 2000")
+    li = table(spark, d, "lineitem")
+    o = table(spark, d, "orders")
     s = table(spark, d, "supplier")
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     ev = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 2).otherwise(3)
@@ -141,8 +141,8 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("id", F.concat_ws(">", "src", "dst"))
 
 
-_E = """li AS (SELECT * FROM lineitem WHERE l_orderkey < 2000), ev AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 3 END AS ev FROM li),
-e0 AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst, 'calls' AS kind, 0 AS ev, 0 AS res FROM orders WHERE o_orderkey < 2000
+_E = """li AS (SELECT * FROM lineitem), ev AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 3 END AS ev FROM li),
+e0 AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst, 'calls' AS kind, 0 AS ev, 0 AS res FROM orders
  UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey, 'reads', min(ev), 0 FROM ev GROUP BY l_orderkey, l_partkey
  UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, 'exposes', min(ev), min((l_quantity > 45)::int) FROM ev GROUP BY l_partkey, l_suppkey
  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'tests', 2, 0 FROM supplier),
@@ -193,18 +193,18 @@ def flow_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def insight_orphan(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_partkey").alias("key"))
-    return G.unused(p, table(spark, d, "lineitem").where("l_orderkey < 2000").select(F.col("l_partkey").alias("key")))
+    return G.unused(p, table(spark, d, "lineitem").where("l_returnflag = 'A' AND l_linenumber = 1").select(F.col("l_partkey").alias("key")))
 
 
 def insight_drift(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_orderkey < 2000")
+    li = table(spark, d, "lineitem")
     prov = li.where("l_linenumber = 1").select(F.col("l_partkey").alias("key"), F.col("l_returnflag").alias("schema_hash"))
     cons = li.where("l_linenumber = 2").select(F.col("l_partkey").alias("key"), F.col("l_orderkey").alias("consumer"), F.when(F.col("l_linestatus") == "F", F.col("l_returnflag")).alias("schema_hash"))
     return G.drift(prov, cons).select("key", "consumer", F.concat_ws(",", "provided").alias("provided"), "used")
 
 
 def missing_locale(spark: SparkSession, d: str) -> DataFrame:
-    k = table(spark, d, "documents").where("doc_id < 200").select(F.lit("all").alias("project"), F.col("source").alias("key"), F.col("lang").alias("locale"))
+    k = table(spark, d, "documents").select(F.lit("all").alias("project"), F.concat_ws("/", "source", (F.col("doc_id") % 250).cast("string")).alias("key"), F.col("lang").alias("locale"))
     return G.missing_locales(k).select("key", F.concat_ws(",", "missing").alias("missing"))
 
 
@@ -261,9 +261,9 @@ SELECT * FROM c WHERE symbol NOT IN (SELECT regexp_replace(symbol, '\\.[^.]*$',
     "impact_risk": _IMPACT + " SELECT * FROM i",
     "impact_projects": _IMPACT + " SELECT o_orderpriority AS project, count(*) AS n, CASE min(CASE risk WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'unknown' END AS risk FROM i LEFT JOIN orders ON node = 'o' || o_orderkey GROUP BY 1",
     "flow_paths": f"WITH RECURSIVE {_E}, w(path, ids, weakest, flagged, hops) AS (SELECT ['c899'], []::varchar[], 0, 0, 0 UNION ALL SELECT list_append(path, dst), list_append(ids, id), greatest(weakest, ev), flagged + (ev >= 3 OR res > 0)::int, hops + 1 FROM w JOIN e ON src = path[-1] WHERE hops < 4 AND NOT list_contains(path, dst)) SELECT array_to_string(path, ' ') AS path, weakest, flagged, hops FROM w WHERE path[-1][1] = 'n' ORDER BY weakest, flagged, hops, ids LIMIT 10",
-    "insight_orphan": "SELECT p_partkey AS key FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey < 2000)",
-    "insight_drift": "WITH li AS (SELECT * FROM lineitem WHERE l_orderkey < 2000), p AS (SELECT l_partkey AS key, list_sort(list_distinct(list(l_returnflag))) AS p FROM li WHERE l_linenumber = 1 GROUP BY 1) SELECT key, l_orderkey AS consumer, array_to_string(p, ',') AS provided, l_returnflag AS used FROM li JOIN p ON key = l_partkey WHERE l_linenumber = 2 AND l_linestatus = 'F' AND NOT list_contains(p, l_returnflag)",
-    "missing_locale": "WITH k AS (SELECT DISTINCT source AS key, lang FROM documents WHERE doc_id < 200), a AS (SELECT DISTINCT lang FROM k) SELECT key, string_agg(a.lang, ',' ORDER BY a.lang) AS missing FROM (SELECT DISTINCT key FROM k) x CROSS JOIN a WHERE (key, a.lang) NOT IN (SELECT (key, lang) FROM k) GROUP BY 1",
+    "insight_orphan": "SELECT p_partkey AS key FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1)",
+    "insight_drift": "WITH li AS (SELECT * FROM lineitem), p AS (SELECT l_partkey AS key, list_sort(list_distinct(list(l_returnflag))) AS p FROM li WHERE l_linenumber = 1 GROUP BY 1) SELECT key, l_orderkey AS consumer, array_to_string(p, ',') AS provided, l_returnflag AS used FROM li JOIN p ON key = l_partkey WHERE l_linenumber = 2 AND l_linestatus = 'F' AND NOT list_contains(p, l_returnflag)",
+    "missing_locale": "WITH k AS (SELECT DISTINCT source || '/' || (doc_id % 250) AS key, lang FROM documents), a AS (SELECT DISTINCT lang FROM k) SELECT key, string_agg(a.lang, ',' ORDER BY a.lang) AS missing FROM (SELECT DISTINCT key FROM k) x CROSS JOIN a WHERE (key, a.lang) NOT IN (SELECT (key, lang) FROM k) GROUP BY 1",
     "edge_merge": "SELECT l_partkey AS src, l_suppkey AS dst, min(CASE WHEN l_returnflag = 'A' THEN 0 ELSE 3 END) AS ev, min((l_quantity > 45)::int) AS res, array_to_string(list_sort(list_distinct(list(l_orderkey::varchar))), ',') AS evidence FROM lineitem GROUP BY 1, 2",
     "contract_parties": f"WITH {_V} SELECT string_split(path, '/')[-1] AS kind, content_hash AS key, coalesce(array_to_string(list_sort(list_distinct(list(string_split(path, '/')[1]) FILTER (valid_from % 2 = 0))), ','), '') AS producers, coalesce(array_to_string(list_sort(list_distinct(list(string_split(path, '/')[1]) FILTER (valid_from % 2 <> 0))), ','), '') AS consumers FROM v WHERE valid_from <= 1500 AND (valid_to IS NULL OR valid_to > 1500) GROUP BY 1, 2",
     "module_rollup": "SELECT l_returnflag AS module, l_linestatus AS other, count(*) AS n FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_shipdate, l_partkey, l_suppkey FROM lineitem WHERE l_returnflag <> l_linestatus) GROUP BY 1, 2",
