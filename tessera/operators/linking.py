@@ -102,7 +102,7 @@ def schema_history(ops: DataFrame) -> DataFrame:
     independent.
     """
     def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["project", "path", "line", "table", "op", "column"], na_position="first")
+        p = p.assign(late=p["op"] != "create").sort_values(["project", "path", "line", "table", "late", "op", "column"], na_position="first")  # on one line a table is created first
         columns: dict[str, set] = {}
         added: dict[str, set] = {}
         dropped: dict[str, bool] = {}

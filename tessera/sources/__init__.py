@@ -19,7 +19,8 @@ def walk(spark: SparkSession, root: str, *, pattern: str = "*", max_bytes: int =
     """(path, length, content_hash, language, text, skip_reason) of a folder's files; a skipped file's text is null.
 
     Names and sizes decide before a text is looked at, and text leaves the scan
-    only for files that are taken.
+    only for files that are taken.  Spark lists no names that begin with ``.``
+    or ``_``: they are left out without a row.
     """
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*(?=/)", ""), f"^{re.escape(root.rstrip('/'))}/", "")

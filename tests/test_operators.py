@@ -1,0 +1,274 @@
+"""Operators on small inputs with results worked out by hand."""
+
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera import sources as S
+from tessera.functions import contracts as K
+from tessera.functions import paths as P
+from tessera.functions import secrets as X
+from tessera.functions import text as TX
+from tessera.operators import code as C
+from tessera.operators import graph as G
+from tessera.operators import knowledge as N
+from tessera.operators import linking as L
+from tessera.operators import retrieval as R
+from tessera.operators import usage as U
+from tessera.operators import versioned as V
+
+
+def values(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def one(spark, column, **literals):
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in literals.items()]).select(column).first()[0]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("getUserById2", ["getuserbyid2", "get", "user", "by", "id", "id2"]), ("snake_case_v2", ["snake_case_v2", "snake", "case", "v2"]), ("HTTPServer", ["httpserver", "http", "server"]),
+    ("İPTAL", ["iptal"]), ("", []), ("-- ::", []), ("12345678901", []), ("a b", [])])
+def test_tokens(text, want):
+    assert TX.tokens(text) == want
+
+
+def test_fusion_by_hand(spark):
+    lists = spark.createDataFrame([("exact", "c", 1), ("lexical", "a", 1), ("lexical", "c", 2), ("semantic", "b", 1), ("semantic", "d", 2), ("semantic", "a", 3)], "source string, id string, source_rank int")
+    got = R.rrf(lists, {"exact": 0.4, "lexical": 0.6, "semantic": 1.0}).orderBy("rank").collect()
+    assert [r["id"] for r in got] == ["a", "b", "c", "d"]
+    score = {r["id"]: r["score"] for r in got}
+    assert score["a"] == pytest.approx(0.6 / 61 + 1 / 63, abs=1e-9) and score["b"] == pytest.approx(1 / 61, abs=1e-9) and score["c"] == pytest.approx(0.4 / 61 + 0.6 / 62, abs=1e-9) and score["d"] == pytest.approx(1 / 62, abs=1e-9)
+
+
+def test_metrics_by_hand(spark):
+    rank = spark.createDataFrame([("q", "a", 1), ("q", "x", 2), ("q", "b", 3)], "query_id string, doc string, rank int")
+    judged = spark.createDataFrame([("q", "a", 3), ("q", "b", 1), ("q", "c", 2), ("p", "z", 1)], "query_id string, doc string, grade int")
+    got = {r["query_id"]: r for r in R.metrics(rank, judged).collect()}
+    assert (got["q"]["recall_1"], got["q"]["recall_5"], got["q"]["mrr_10"], got["q"]["ndcg_10"]) == (0.3333, 0.6667, 1.0, 0.7985)
+    assert got["p"]["abstained"] and got["p"]["recall_10"] == 0
+
+
+def test_budget_skips_and_goes_on(spark):
+    items = spark.createDataFrame([("q", 1, 5), ("q", 2, 9), ("q", 3, 4), ("q", 4, 1)], "q string, rank int, cost int")
+    assert sorted(r["rank"] for r in R.greedy_budget(items, 10, by="q").collect()) == [1, 3, 4]
+
+
+def test_quota_defers_and_drops_nothing(spark):
+    df = spark.createDataFrame([(i, "p" if i < 4 else "r", i) for i in range(6)], "id int, project string, rank int")
+    assert [r["id"] for r in R.result_quota(df, 2).orderBy("position").collect()] == [0, 1, 4, 5, 2, 3]
+
+
+def test_intervals_as_of_diff_and_retry(spark):
+    rows = spark.createDataFrame([("v", "a", 1, None, "h1"), ("v", "b", 1, 3, "h2"), ("v", "b", 3, None, "h3")], "view_id string, path string, valid_from long, valid_to long, content_hash string")
+    pin = lambda g: spark.createDataFrame([("v", g)], "view_id string, generation long")
+    assert {(r["path"], r["content_hash"]) for r in V.as_of(rows, pin(2)).collect()} == {("a", "h1"), ("b", "h2")}
+    changes = spark.createDataFrame([("v", "a", "delete", "h1", None), ("v", "c", "upsert", None, "h1")], "view_id string, path string, op string, old_hash string, content_hash string")
+    assert {r["path"]: r["renamed_from"] for r in V.renames(changes, "view_id").collect()} == {"a": None, "c": "a"}
+    once = V.apply_changes(rows, changes, 5)
+    assert set(values(once)) == set(values(V.apply_changes(once, changes, 5)))
+    assert values(V.diff(V.as_of(once, pin(5)), V.as_of(once, pin(6)), "view_id", "path")) == []
+    assert {r["path"] for r in V.as_of(once, pin(5)).collect()} == {"b", "c"}
+
+
+EDGES = [("controller", "endpoint", "exposes", 1), ("controller", "service", "calls", 0), ("service", "topic", "produces", 1), ("service", "subscriptions", "writes", 0), ("service", "repo", "calls", 0), ("repo", "subscriptions", "reads", 0), ("report", "audit_log", "reads", 0),
+         ("billing_test", "service", "tests", 0), ("ui", "endpoint", "consumes", 1), ("ui", "helper", "calls", 3), ("helper", "service", "calls", 3), ("web_test", "ui", "tests", 0), ("consumer", "topic", "consumes", 1), ("consumer", "audit_log", "writes", 0), ("consumer", "env", "reads", 2)]
+
+
+def test_impact_of_a_service(spark):
+    e = spark.createDataFrame([(s, d, k, ev, 0, f"{s}>{k}>{d}") for s, d, k, ev in EDGES], "src string, dst string, kind string, ev int, res int, id string")
+    got = {r["node"]: r for r in G.impact(e, spark.createDataFrame([("service",)], "node string"), 8).withColumn("risk", G.risk()).collect()}
+    assert set(got) == {"controller", "helper", "topic", "subscriptions", "repo", "consumer", "endpoint", "audit_log", "report", "ui", "billing_test", "web_test"}
+    assert got["billing_test"]["hops"] == 1 and got["billing_test"]["risk"] == "high" and got["web_test"]["hops"] == 4 and got["web_test"]["risk"] == "medium"
+    assert got["ui"]["hops"] == 3 and got["ui"]["risk"] == "medium"
+
+
+def test_walk_depth_is_checked(spark):
+    with pytest.raises(ValueError):
+        G.walk_edges(spark.createDataFrame([("a", "b", "x")], "src string, dst string, id string"), spark.createDataFrame([("a",)], "node string"), 9)
+
+
+@pytest.mark.parametrize("raw,want", [
+    ("get https://h/v1/orders/:id?x=1#y", "GET /v1/orders/{}"), ("ANY /a//b/", "* /a/b"), (f"{K.DYN}/v1/{K.DYN}", "* /v1/{}"), ("POST /f.{ext}", "POST /f.{}"), ("/a/<int:id>/[slug]/**", "* /a/{}/{}/{}"), (f"GET /orders{K.DYN}{K.DYN}x", "GET /orders{}x"), (f"GET {K.DYN}", "GET {}"), ("DELETE", "DELETE /")])
+def test_http_keys(spark, raw, want):
+    assert one(spark, K.http_key(F.col("r")), r=raw) == want
+
+
+def test_table_and_env_keys(spark):
+    assert one(spark, K.table_key(F.col("r")), r=' "public"."Orders" ') == "orders" and one(spark, K.table_key(F.col("r")), r="a b") is None
+    assert one(spark, K.env_key(F.col("r")), r="DB_URL") == "DB_URL" and one(spark, K.env_key(F.col("r")), r="not a name") is None
+
+
+def test_endpoints_match_the_most_specific(spark):
+    c = spark.createDataFrame([("GET /v1/orders/7",), ("GET /v1/orders/{}",), ("* /v1/x{}",), ("GET /nothing",)], "key string")
+    p = spark.createDataFrame([("GET /v1/orders/{}",), ("* /v1/{}/{}",), ("GET /v1/orders/7",), ("GET /v1/xyz",), ("POST /v1/xyz",)], "key string")
+    got = {}
+    for r in L.match_endpoints(c, p).collect():
+        got.setdefault(r["key"], set()).add(r["target"])
+    assert got == {"GET /v1/orders/7": {"GET /v1/orders/7"}, "GET /v1/orders/{}": {"GET /v1/orders/{}", "GET /v1/orders/7"}, "* /v1/x{}": {"GET /v1/xyz", "POST /v1/xyz"}}
+
+
+def test_resolution_kinds(spark):
+    known = spark.createDataFrame([("topic", "order.created"), ("topic", "order.paid"), ("rpc", "shop.v1.Orders/Get"), ("endpoint", "GET /v1/a")], "kind string, key string")
+    e = spark.createDataFrame([("topic", "order.created", False), ("topic", "order.{}", True), ("rpc", "Orders/get", False), ("endpoint", "GET /api/v1/a", False), ("topic", "{}", True), ("env", "X", False)], "kind string, key string, dynamic boolean")
+    got = {}
+    for r in L.resolve(e, known, prefixes=("/api",)).collect():
+        got.setdefault((r["kind"], r["key"]), []).append((r["target"], r["how"], r["resolution"]))
+    assert got["topic", "order.created"] == [("order.created", "exact", "resolved")]
+    assert sorted(got["topic", "order.{}"]) == [("order.created", "glob", "ambiguous"), ("order.paid", "glob", "ambiguous")]
+    assert got["rpc", "Orders/get"] == [("shop.v1.Orders/Get", "suffix", "resolved")] and got["endpoint", "GET /api/v1/a"] == [("GET /v1/a", "prefix", "resolved")] and got["env", "X"] == [("X", "none", "resolved")]
+
+
+def test_schema_history_and_built_against(spark):
+    sql = "CREATE TABLE t (id int, a text, primary key (id));ALTER TABLE t ADD COLUMN b int;", "ALTER TABLE t RENAME COLUMN a TO c, DROP COLUMN id;", "ALTER TABLE t RENAME TO s;"
+    files = spark.createDataFrame([("p", f"m/{i}.sql", x) for i, x in enumerate(sql)], "project string, path string, text string")
+    h = L.schema_history(S.migrations(files).withColumn("database", F.lit("d"))).cache()
+    got = {(r["table"], r["version"]): (r["columns"], r["added"], r["dropped"]) for r in h.collect()}
+    assert got == {("t", 1): (["a", "b", "id"], ["b"], False), ("t", 2): (["b", "c"], ["b"], False), ("t", 3): ([], [], True), ("s", 1): (["b", "c"], ["b"], False)}
+    e = spark.createDataFrame([("e1", "d", "t", ["id", "a"]), ("e2", "d", "t", ["c"]), ("e3", "d", "t", ["zzz"]), ("e4", "d", "s", ["c", "x"])], "entity string, database string, table string, mapped array<string>")
+    assert {r["entity"]: r["version"] for r in L.built_against(e, h).collect()} == {"e1": 1, "e2": 2, "e3": None, "e4": None}
+    assert {r["entity"]: r["detail"] for r in L.entity_mismatch(e, h).collect()} == {"e1": "dropped", "e2": "dropped", "e3": "dropped", "e4": "unknown:x missing:b"}
+
+
+def test_documentation_both_ways(spark):
+    served = spark.createDataFrame([("api", "GET /a"), ("api", "GET /b"), ("web", "GET /z")], "project string, key string")
+    doc = spark.createDataFrame([("api/openapi.json", "openapi", "GET /a"), ("api/openapi.json", "openapi", "POST /c")], "doc string, stem string, key string")
+    assert {(r["code"], r["project"], r["key"]) for r in L.documentation(served, doc).collect()} == {("link.endpoint_undocumented", "api", "GET /b"), ("link.endpoint_unimplemented", "api/openapi.json", "POST /c")}
+
+
+def test_consumer_fields(spark):
+    got = L.consumer_fields(spark.createDataFrame([("order.created", ["order_id", "total"])], "topic string, fields array<string>"), spark.createDataFrame([("order.created", "web")], "topic string, project string"),
+                            spark.createDataFrame([("web", "m.OrderCreatedEvent", ["orderId", "tax"]), ("web", "Other", ["q"])], "project string, symbol string, fields array<string>")).collect()
+    assert [(r["symbol"], r["unknown"]) for r in got] == [("m.OrderCreatedEvent", ["tax"])]
+
+
+def test_catalogue_tells_of_more(spark):
+    c = spark.createDataFrame([("topic", f"t{i}", role, f"p{i}", h) for i in range(3) for role, h in (("producer", "1"), ("consumer", "1" if i else "0"))], "kind string, key string, role string, party string, schema_hash string")
+    got = L.catalogue(c, limit=2).collect()
+    assert [(r["key"], r["drift"], r["more_available"]) for r in got] == [("t0", True, True), ("t1", False, True)]
+    assert [r["key"] for r in L.catalogue(c, only_drift=True).collect()] == ["t0"]
+
+
+def test_sarif_and_write_back(spark):
+    import json
+
+    f = spark.createDataFrame([("c", "error", "m", "a/b.py", 3)], "code string, severity string, message string, path string, line int")
+    r = json.loads(L.sarif(f).first()["value"])
+    assert r["ruleId"] == "c" and r["level"] == "error" and r["locations"][0]["physicalLocation"]["region"]["startLine"] == 3
+    s = S.markdown_section(spark.createDataFrame([("d", "T2", "y"), ("d", "T1", "x")], "doc string, title string, body string"), by="doc", title="title", line="body", marker="k").first()["section"]
+    once = one(spark, S.write_back(F.col("t"), F.lit(s), "k"), t="# Head\n")
+    assert once.endswith(s + "\n") and s.index("T1") < s.index("T2") and one(spark, S.write_back(F.col("t"), F.lit(s), "k"), t=once) == once
+
+
+CANARY = "AKIA" + "ABCDEFGHIJKLMNOP"
+
+
+def test_secrets_are_found_and_redacted_once():
+    text = f"id {CANARY}\npassword = \"s3cr3T-v4lu3-9x7q2\"\napi_key: process.env.API_KEY_NAME\nurl = db://u:" + "Zq9x8w7v6u" + "@h\ntoken = your-token-here-please"
+    kinds = [k for k, _, _ in X.findings(text)]
+    assert kinds == ["aws_access_key_id", "generic", "url_password"]
+    clean = X.redacted(text)
+    assert CANARY not in clean and X.redacted(clean) == clean and "[REDACTED:generic]" in clean
+    assert X.redacted(None) is None and X.findings("") == []
+
+
+def test_overlapping_known_secrets_are_masked_as_one():
+    assert X.mask("xabcdefghijx", ["abcdefgh", "defghij", "short"]) == "x[REDACTED]x"
+
+
+@pytest.mark.parametrize("path,language,sensitive,generated,test", [("a/App.py", "python", None, False, False), ("x/.env.local", "text", "env_file", False, False), (".docker/config.json", "json", "registry_auth", False, False), ("src/__tests__/a.ts", "typescript", None, False, True),
+                                                                     ("b.pb.go", "go", None, True, False), ("Dockerfile.dev", "dockerfile", None, False, False), (".ssh/known", "text", "private_key", False, False)])
+def test_path_classes(spark, path, language, sensitive, generated, test):
+    r = spark.range(1).select(F.lit(path).alias("p"), F.lit("").alias("t")).select(P.language(F.col("p"), F.col("t")), P.sensitive(F.col("p")), P.generated(F.col("p"), F.col("t")), P.is_test(F.col("p"))).first()
+    assert tuple(r) == (language, sensitive, generated, test)
+
+
+@pytest.mark.parametrize("text,language", [("#!/usr/bin/env python3\n", "python"), ("#!/bin/sh", "bash"), ("#!/usr/bin/env -S A=1 deno run", "typescript"), ("hi", "text")])
+def test_language_by_first_line(spark, text, language):
+    assert one(spark, P.language(F.lit("script"), F.col("t")), t=text) == language
+
+
+def test_walk_gives_reasons(spark, tmp_path):
+    (tmp_path / "a.py").write_text("x = 1\n")
+    (tmp_path / "prod.env").write_text("A=1")
+    (tmp_path / "b.bin").write_bytes(b"a\0b")
+    (tmp_path / "c.txt").write_bytes(b"\xff\xfe\xfd")
+    (tmp_path / "d.txt").write_text("y" * 200)
+    got = {r["path"]: r for r in S.walk(spark, str(tmp_path), max_bytes=100).collect()}
+    assert {k: v["skip_reason"] for k, v in got.items()} == {"a.py": None, "prod.env": "sensitive", "b.bin": "binary", "c.txt": "not_utf8", "d.txt": "too_large"}
+    assert got["a.py"]["text"] == "x = 1\n" and got["a.py"]["language"] == "python" and got["prod.env"]["text"] is None
+
+
+def test_structured_sources(spark):
+    f = spark.createDataFrame([("p", "locales/en.json", "json", '{"cart": {"title": "C"}, "@x": "d"}'), ("p", "openapi.json", "json", '{"openapi": "3", "paths": {"/a/{id}": {"get": {"x": 1}}}}'), ("p", "package.json", "json", '{"dependencies": {"kafkajs": "1"}}'),
+                               ("p", "pyproject.toml", "toml", '[project]\ndependencies = ["flask>=2"]'), ("p", "go.mod", "text", "require github.com/a/b v1.0"), ("p", "bad.json", "json", "{")], "project string, path string, language string, text string")
+    assert [r["key"] for r in S.locale_keys(f).collect()] == ["cart.title"]
+    assert [(r["stem"], r["key"]) for r in S.openapi_endpoints(f).collect()] == [("openapi", "GET /a/{}")]
+    assert {r["package"] for r in S.dependencies(f).collect()} == {"kafkajs", "flask", "github.com/a/b"}
+
+
+def test_latency_buckets_and_percentiles(spark):
+    ms = [0, 3, 4, 5, 7, 8, 9, 10, 1000, 7 << 22, 1 << 40]
+    got = values(spark.createDataFrame([(x,) for x in ms], "ms bigint").select("ms", U.latency_bucket(F.col("ms")).alias("b")).select("ms", "b", U.bucket_bound(F.col("b"))))
+    assert [b for _, b, _ in got] == [0, 3, 4, 5, 7, 8, 8, 9, 35, 95, 95]
+    assert all(x <= top for x, b, top in got if b < 95) and got[9][2] == 7 << 22
+    calls = spark.createDataFrame([(datetime(2024, 1, 1, 5, m), "t", "a", m, m % 2 == 0, 1) for m in range(10)], "at timestamp, tool string, agent string, latency_ms long, ok boolean, output_tokens long")
+    r = U.hourly(calls).select("*", U.percentile(F.col("buckets"), 50).alias("p50"), U.percentile(F.col("buckets"), 95).alias("p95")).first()
+    assert (r["calls"], r["errors"], r["latency_ms_sum"], r["p50"], r["p95"]) == (10, 5, 45, 4, 9)
+    assert one(spark, U.agent_label(F.col("c")), c="") == "mcp-client" and one(spark, U.agent_label(F.col("c")), c="a b/é") == "a_b__"
+
+
+def test_knowledge(spark):
+    r = spark.createDataFrame([(1, "organization", None, None, "rule", "s", "x  y", "accepted", ["f"]), (2, "project", "w", "p", "rule", "s", "x y", "accepted", []), (3, "project", "w", "p", "rule", "s", "z", "accepted", []), (4, "project", "w", "q", "rule", "s", "z", "accepted", []), (5, "user", None, None, "rule", "s", "u", "accepted", []), (6, "project", "w", "p", "rule", "s", "k", "proposed", ["f"])],
+                              "id int, scope_kind string, workspace string, project string, kind string, subject string, body string, state string, related_symbols array<string>")
+    assert {(c["first"], c["second"]) for c in N.conflicts(r).collect()} == {(1, 3), (1, 4), (2, 3)}
+    e = spark.createDataFrame([(2, "p", "a", "h1"), (3, "p", "a", "h2"), (4, "p", "gone", "h")], "record_id int, project string, path string, content_hash string")
+    c = spark.createDataFrame([("p", "a", "h1", "h2"), ("p", "gone", "h", None), ("p", "same", "h", "h")], "project string, path string, old_hash string, new_hash string")
+    got = {x["id"]: (x["stale"], x["reasons"]) for x in N.staleness(r, e, c, spark.createDataFrame([("f", "removed")], "symbol string, kind string")).collect()}
+    assert got == {1: (True, ["symbol_removed:f"]), 2: (True, ["file_changed:p/a"]), 4: (True, ["file_deleted:p/gone"]), 6: (False, ["symbol_removed:f"])}
+
+
+def test_bootstrap_cuts_what_is_left(spark):
+    i = spark.createDataFrame([("q", 1, 0, 0, "a", 1, "x" * 400), ("q", 2, 1, 0, "a", 1, "x" * 4000), ("q", 3, 5, 0, "a", 9, "x" * 40), ("q", 4, 2, 0, "a", 1, "x" * 4)], "q string, id int, tier int, breadth int, subject string, at int, text string").withColumn("updated_at", F.timestamp_seconds("at"))
+    assert [(r["id"], r["tokens"], r["truncated"]) for r in N.bootstrap(i, 150, by="q").collect()] == [(1, 100, False), (2, 50, True)]
+
+
+def test_chunks_hold_every_line():
+    text = "".join(f"line {i} " + "x" * 60 + "\n" for i in range(300))
+    got = C.chunks_of(text)
+    assert all(len(t) <= C.TARGET for _, _, t in got) and got[0][0] == 1 and got[-1][1] == 300
+    assert {line for _, _, t in got for line in t.split("\n")} == {line.rstrip() for line in text.split("\n") if line}
+    assert all(b[0] <= a[1] + 1 for a, b in zip(got, got[1:])) and C.chunks_of("  ") == [] and C.chunks_of("hi") == [(1, 1, "hi")]
+    long = C.chunks_of("word " * 3000)
+    assert "".join(t.replace(" ", "") for _, _, t in long).count("word") >= 3000 and max(len(t) for _, _, t in long) <= C.TARGET
+
+
+def test_symbols_and_names(spark):
+    s = C.symbols_of("class A:\n    def f(self, x):\n        '''Doc.'''\n\ndef g(): pass\n", "python")
+    assert [(x["name"], x["kind"], x["start"]) for x in s] == [("A", "class", 1), ("A.f", "method", 2), ("g", "function", 5)] and C.symbols_of("def (", "python") == []
+    assert [x["name"] for x in C.symbols_of("pub fn run() {}\nstruct S;", "rust")] == ["run", "S"]
+    uses = spark.createDataFrame([("d/a", "n"), ("d/a", "m"), ("d/a", "k"), ("d/a", "many")], "file string, name string")
+    defs = spark.createDataFrame([("d/a", "n", "own"), ("d/b", "n", "near"), ("e/c", "m", "imp"), ("d/b", "m", "near"), ("d/b", "k", "near")] + [("d/b", "many", f"s{i}") for i in range(5)], "file string, name string, symbol string")
+    got = {r["name"]: (r["symbols"], r["scope"]) for r in C.resolve_names(uses, defs, spark.createDataFrame([("d/a", "e/c")], "file string, target string")).collect()}
+    assert got == {"n": (["own"], "file"), "m": (["imp"], "import"), "k": (["near"], "directory")}
+    i = C.resolve_imports(spark.createDataFrame([("src/a/x.ts", "../b"), ("src/a/x.ts", "./y"), ("src/a/x.ts", "lib")], "file string, spec string"), spark.createDataFrame([("src/b/index.ts",), ("src/a/y.js",), ("src/a/y/index.ts",)], "path string"))
+    assert {r["spec"]: r["target"] for r in i.collect()} == {"../b": "src/b/index.ts", "./y": "src/a/y.js"}
+
+
+def test_hash_embeddings_are_unit_and_stable():
+    a, b = C.hash_embedding("cancel subscription"), C.hash_embedding("cancel the subscription")
+    assert sum(x * x for x in a) == pytest.approx(1) and sum(x * y for x, y in zip(a, b)) > 0.5 and C.hash_embedding("!!") == C.hash_embedding("!!") and any(C.hash_embedding(None))
+
+
+def test_job_queue(spark):
+    now = F.lit("2024-01-01 00:00:10").cast("timestamp")
+    t = datetime(2024, 1, 1)
+    j = spark.createDataFrame([(1, "k", 1, "queued", 0, 3, t, None, None, "a"), (2, "k", 5, "failed", 1, 3, t, None, None, "b"), (3, "k", 9, "queued", 0, 3, datetime(2025, 1, 1), None, None, None), (4, "k", 0, "running", 3, 3, t, "w", t, None)],
+                              "id int, kind string, priority int, state string, attempts int, max_attempts int, run_after timestamp, lease_owner string, lease_expires_at timestamp, idempotency_key string")
+    got = U.claim(j, ["k"], "w", now, 5000).first()
+    assert (got["id"], got["attempts"], got["state"], got["lease_owner"]) == (2, 2, "running", "w")
+    assert {r["id"]: r["state"] for r in U.reclaim(j, now).collect()} == {1: "queued", 2: "failed", 3: "queued", 4: "dead"}
+    assert U.enqueue(j, j.withColumn("id", F.col("id") + 10)).count() == 6
+    with pytest.raises(ValueError):
+        U.claim(j, [], "w", now, 1)
