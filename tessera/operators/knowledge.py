@@ -71,7 +71,7 @@ def about(records: DataFrame, symbols: list[str]) -> DataFrame:
 
 def select_records(records: DataFrame, *, scopes: DataFrame | None = None, states: list[str] = (), kinds: list[str] = (), subject: str | None = None, pinned: bool | None = None, tag: str | None = None) -> DataFrame:
     """Conjunctive filter; what is not asked for is no filter.  scopes: (scope_kind, workspace, project) that the caller may read, joined first."""
-    r = records if scopes is None else records.join(F.broadcast(scopes.limit(10_000)), [records[c].eqNullSafe(scopes[c]) for c in ("scope_kind", "workspace", "project")], "left_semi")
+    r = records if scopes is None else records.join(scopes, [records[c].eqNullSafe(scopes[c]) for c in ("scope_kind", "workspace", "project")], "left_semi")
     for c, v in (("state", states), ("kind", kinds)):
         r = r.where(F.col(c).isin(list(v))) if v else r
     r = r if subject is None else r.where(F.col("subject") == subject)

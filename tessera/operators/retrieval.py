@@ -25,7 +25,7 @@ def bm25(docs: DataFrame, terms: list[str], *, body: Column, path: Column | None
 
     Only asked terms leave the scan: term frequencies are counted inside each
     row's array, so nothing but matches is shuffled.  N, df and the average
-    length are of each field, from one aggregate that is a single small row.
+    length are of each field, from one aggregate whose single row becomes literals.
     """
     terms = list(dict.fromkeys(terms))
     fields = [("body", body, 1.0)] + ([("path", path, PATH_BOOST)] if path is not None else [])
@@ -37,18 +37,18 @@ def bm25(docs: DataFrame, terms: list[str], *, body: Column, path: Column | None
     tf = d.select("id", *[c.alias(k) for k, c in cols.items()])
     stats = tf.agg(F.count("*").alias("n"), *[F.avg(f"{n}_len").alias(f"{n}_avg") for n, _, _ in fields], *[F.sum((F.col(f"{n}_{i}") > 0).cast("long")).alias(f"{n}_df_{i}") for n, _, _ in fields for i in range(len(terms))])
     hits = tf.where(" OR ".join(f"{n}_{i} > 0" for n, _, _ in fields for i in range(len(terms))) or "false")
-    both = hits.join(F.broadcast(stats))  # one row
+    known = stats.first().asDict()  # one row, whatever the corpus
     score, matched = F.lit(0.0), F.lit(0)
     for i in range(len(terms)):
         seen = F.lit(False)
         for n, _, boost in fields:
-            f, df = F.col(f"{n}_{i}"), F.col(f"{n}_df_{i}")
-            idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-            norm = K1 * (1 - B + B * F.col(f"{n}_len") / F.col(f"{n}_avg"))
+            f, df = F.col(f"{n}_{i}"), F.lit(known[f"{n}_df_{i}"] or 0)
+            idf = F.log(1 + (F.lit(known["n"]) - df + 0.5) / (df + 0.5))
+            norm = K1 * (1 - B + B * F.col(f"{n}_len") / F.lit(known[f"{n}_avg"] or 1.0))
             score = score + F.when(f > 0, boost * idf * f * (K1 + 1) / (f + norm)).otherwise(0.0)
             seen = seen | (f > 0)
         matched = matched + seen.cast("int")
-    return both.select("id", (score * F.pow(matched / len(terms), F.lit(coordination))).alias("score"), matched.alias("matched_terms"))
+    return hits.select("id", (score * F.pow(matched / len(terms), F.lit(coordination))).alias("score"), matched.alias("matched_terms"))
 
 
 def _equal(term: str):

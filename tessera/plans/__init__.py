@@ -1,5 +1,5 @@
 """Registered queries: each module has ``QUERIES`` and ``SQL``."""
 
-from tessera.plans import graphs, retrieval, services
+from tessera.plans import catalogue, graphs, retrieval, services
 
-ALL = (retrieval, graphs, services)
+ALL = (retrieval, graphs, services, catalogue)

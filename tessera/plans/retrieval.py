@@ -121,7 +121,7 @@ def vector_by_profile(spark: SparkSession, d: str) -> DataFrame:
     """Semantic candidates never mix profiles: each label is one, searched by its own first vector."""
     e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
     q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
-    s = e.join(F.broadcast(q), "label").select("label", "vec_id", F.round(R.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    s = e.join(q, "label").select("label", "vec_id", F.round(R.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
     return R.ranked(s, F.desc("score"), F.asc("vec_id"), by=("label",)).where("rank <= 5")
 
 

@@ -236,8 +236,8 @@ FILES = (
 
 def extract_contracts(spark: SparkSession, d: str) -> DataFrame:
     """The rules over small files, a copy of them for each region."""
-    f = spark.createDataFrame(list(FILES), "project string, path string, language string, text string")
-    e = C.extract(table(spark, d, "region").select("r_name", F.explode(F.sequence(F.lit(1), F.lit(1)))).drop("col").join(F.broadcast(f)).select(F.concat_ws("-", "r_name", "project").alias("project"), "path", "language", "text"))
+    each = F.explode(F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(f, ("project", "path", "language", "text"))]) for f in FILES])).alias("f")
+    e = C.extract(table(spark, d, "region").select("r_name", each).select(F.concat_ws("-", "r_name", "f.project").alias("project"), "f.path", "f.language", "f.text"))
     return e.select("project", "path", "line", "pack", "kind", "role", "key", "dynamic")
 
 
