@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 K1, B, PATH_BOOST = 1.2, 0.75, 1.5
 
 
@@ -30,11 +32,15 @@ def bm25(docs: DataFrame, terms: list[str], *, body: Column, path: Column | None
     terms = list(dict.fromkeys(terms))
     fields = [("body", body, 1.0)] + ([("path", path, PATH_BOOST)] if path is not None else [])
     d = docs.select(F.col(id_col).alias("id"), *[c.alias(n) for n, c, _ in fields])
-    cols = {f"{n}_len": F.size(n) for n, _, _ in fields}
+    asked = [F.lit(t) for t in terms]
+    # the long arrays are read once; what is counted a term at a time holds asked terms only
+    d = d.select("id", *[F.size(n).alias(f"{n}_len") for n, _, _ in fields], *[F.filter(n, lambda x: x.isin(asked)).alias(n) for n, _, _ in fields])
+    cols = {f"{n}_len": F.col(f"{n}_len") for n, _, _ in fields}
     for n, _, _ in fields:
         for i, term in enumerate(terms):
             cols[f"{n}_{i}"] = F.size(F.array_compact(F.transform(n, _equal(term))))
-    tf = d.select("id", *[c.alias(k) for k, c in cols.items()])
+    # statistics and scores both need these few numbers a row: texts are tokenised once for them
+    tf = cut(d.select("id", *[c.alias(k) for k, c in cols.items()]))
     stats = tf.agg(F.count("*").alias("n"), *[F.avg(f"{n}_len").alias(f"{n}_avg") for n, _, _ in fields], *[F.sum((F.col(f"{n}_{i}") > 0).cast("long")).alias(f"{n}_df_{i}") for n, _, _ in fields for i in range(len(terms))])
     hits = tf.where(" OR ".join(f"{n}_{i} > 0" for n, _, _ in fields for i in range(len(terms))) or "false")
     known = stats.first().asDict()  # one row, whatever the corpus
