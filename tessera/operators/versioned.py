@@ -89,12 +89,19 @@ def shadow(base: DataFrame, overlay: DataFrame, declared: DataFrame) -> DataFram
     return base.join(hidden, ["project", "path"], "left_anti").withColumn("layer", F.lit("base")).unionByName(overlay.withColumn("layer", F.lit("overlay")))
 
 
-def co_changes(changes: DataFrame, *, group: str, item: str, max_items: int = 50) -> DataFrame:
-    """(a, b, n): how often two items change in one group; groups of more than ``max_items`` say nothing and are left out."""
+def co_changes(changes: DataFrame, *, group: str, item: str, block: int = 512) -> DataFrame:
+    """(a, b, n): how often two items change in one group, whatever the group's size.
+
+    A group of more than ``block`` items is dealt into blocks of about that many,
+    and each pair of blocks is a key of its own: no task gets all pairs of a group.
+    """
     c = changes.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    small = c.groupBy("g").count().where(F.col("count") <= max_items).select("g")
-    c = c.join(small, "g", "left_semi")
-    return c.alias("x").join(c.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.i") < F.col("y.i"))).groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(F.count("*").alias("n"))
+    large = c.groupBy("g").count().where(F.col("count") > block).select("g", F.ceil(F.col("count") / block).cast("int").alias("n"))
+    c = c.join(large, "g", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("k", F.pmod(F.xxhash64("i"), F.col("n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    x, y = c.select("g", "i", F.col("k").alias("p"), every.alias("q")), c.select("g", "i", every.alias("p"), F.col("k").alias("q"))
+    same = (F.col("x.g") == F.col("y.g")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
+    return x.alias("x").join(y.alias("y"), same & (F.col("x.i") < F.col("y.i"))).groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(F.count("*").alias("n"))
 
 
 def tree_levels(files: DataFrame) -> list[DataFrame]:

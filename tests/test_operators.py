@@ -72,6 +72,15 @@ def test_intervals_as_of_diff_and_retry(spark):
     assert {r["path"] for r in V.as_of(once, pin(5)).collect()} == {"b", "c"}
 
 
+def test_co_changes_count_pairs_of_large_groups(spark):
+    rows = [(g, i) for g, n in (("small", 3), ("large", 120), ("larger", 130)) for i in range(n)]
+    changes = spark.createDataFrame([*rows, *rows[:50], ("large", None), (None, 1), (None, 2)], "g string, i int")
+    want = {(a, b): 1 + (b < 120) + (b < 3) for b in range(130) for a in range(b)}
+    for block in (512, 16):
+        got = V.co_changes(changes, group="g", item="i", block=block).collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]): r["n"] for r in got} == want
+
+
 EDGES = [("controller", "endpoint", "exposes", 1), ("controller", "service", "calls", 0), ("service", "topic", "produces", 1), ("service", "subscriptions", "writes", 0), ("service", "repo", "calls", 0), ("repo", "subscriptions", "reads", 0), ("report", "audit_log", "reads", 0),
          ("billing_test", "service", "tests", 0), ("ui", "endpoint", "consumes", 1), ("ui", "helper", "calls", 3), ("helper", "service", "calls", 3), ("web_test", "ui", "tests", 0), ("consumer", "topic", "consumes", 1), ("consumer", "audit_log", "writes", 0), ("consumer", "env", "reads", 2)]
 
