@@ -8,11 +8,13 @@ packed by itself: at most one sequence of a group stays partly empty in excess
 of what one global packing would have, 1 in thousands.
 
 A group is a histogram of lengths.  Best-fit decreasing gives the incumbent.
-Where it uses more bins than the sum of lengths asks for, branch and bound
-takes over: the largest length left is put in a bin, the bin's undominated
+Where it uses more bins than a lower bound asks for, branch and bound takes
+over: the largest length left is put in a bin, the bin's undominated
 completions (none of their lengths can be exchanged for a larger one that is
-left and still fits) are tried by waste, a branch is cut when the waste so far
-rules out a better packing than the incumbent, and ``nodes`` bounds the search.
+left and still fits) are tried by waste, each as often as its lengths are left,
+and a branch is cut when the waste so far rules out a better packing than the
+incumbent.  The search is bounded: 6 completions a bin, found in 240 steps, and
+``nodes`` fillings besides one for each distinct length.
 
 Defined cases: null text counts as empty, one end id; repeated rows are packed
 each; an empty table gives no rows; extra columns are ignored.
@@ -127,74 +129,100 @@ def completions(first: int, kinds: list[int], left: Counter, size: int, most: in
     return kept[:most]
 
 
+def least_bins(lengths: list[int], size: int) -> int:
+    """A number of bins that no packing goes below: by the sum, and by what fits beside the lengths over half a bin."""
+    have = Counter(lengths)
+    x = np.array(sorted(have), dtype=np.int64)
+    n = np.array([have[v] for v in x.tolist()], dtype=np.int64)
+    best = -(-sum(lengths) // size)
+    for k in [0, *x[2 * x <= size].tolist()]:
+        alone, wide, rest = x > size - k, (x <= size - k) & (2 * x > size), (x >= k) & (2 * x <= size)
+        over = int((x * n)[rest].sum()) - int(((size - x) * n)[wide].sum())  # what the room beside the wide ones cannot hold
+        best = max(best, int(n[alone | wide].sum()) + max(0, -(-over // size)))
+    return best
+
+
 def pack_lengths(lengths: list[int], size: int = SEQUENCE, nodes: int = NODES) -> list[list[int]]:
     """Bins of lengths, as few as found: best-fit decreasing, then bin completion while that can still help.
 
-    Bin completion searches the ``OPEN_BINS`` incumbent bins with most waste:
-    bins that best fit has filled without waste stay as they are, since the
-    bound on the whole is met as soon as these are packed one bin tighter.
+    First the ``OPEN_BINS`` bins with most waste are packed anew, which is
+    quick and enough where one bin is to be saved.  Where that saves none and
+    the lower bound is not met, all bins are taken together.
     """
     full = [[x] for x in lengths if x >= size]
-    best = best_fit([x for x in lengths if x < size], size)
-    bound = -(-sum(map(sum, best)) // size)
+    rest = [x for x in lengths if x < size]
+    best, bound = best_fit(rest, size), least_bins(rest, size)
     while len(best) > bound:
         best.sort(key=lambda b: sum(b))
         few = best[:OPEN_BINS]
-        better = complete([x for b in few for x in b], few, size, nodes)
-        if len(better) == len(few):
+        better = complete([x for b in few for x in b], few, size, nodes) + best[OPEN_BINS:]
+        if len(better) == len(best) > OPEN_BINS:
+            better = complete(rest, best, size, nodes)
+        if len(better) == len(best):
             break
-        best = better + best[OPEN_BINS:]
+        best = better
     return full + best
 
 
 def complete(rest: list[int], incumbent: list[list[int]], size: int, nodes: int) -> list[list[int]]:
-    """Branch and bound over bins; ``incumbent`` if no packing of fewer bins is found within ``nodes`` fillings."""
-    best, bound = incumbent, -(-sum(rest) // size)
+    """Branch and bound over bins; ``incumbent`` if no packing of fewer bins is found.
+
+    A filling is taken as often as its lengths are left, which uses up one of
+    them, or else once.  So a first packing of all lengths takes as many
+    fillings as there are distinct lengths at most; ``nodes`` more are tried.
+    """
+    best, bound = incumbent, least_bins(rest, size)
     if len(best) <= bound:
         return best
     total, left, spent = sum(rest), Counter(rest), 0
     kinds = sorted(left)
-    done: list[list[int]] = []
-    stack: list[list[list[int]]] = []  # each level holds the fillings not yet tried
+    nodes += len(kinds)
+    done: list[tuple[list[int], int]] = []
+    stack: list[list[tuple[list[int], int]]] = []  # each level holds the fillings not yet tried
     waste = 0
     goal = len(best) - 1  # a packing must have so many bins at most to be better
 
-    def take(filling: list[int], sign: int) -> None:
+    def take(filling: list[int], times: int) -> None:
         for x in filling:
             before = left[x]
-            left[x] = before - sign
+            left[x] = before - times
             if left[x] == 0:
                 kinds.pop(bisect_left(kinds, x))
             elif before == 0:
                 insort(kinds, x)
 
+    def choices() -> list[tuple[list[int], int]]:
+        first = kinds[-1]
+        fillings = [[first, *c] for c in completions(first, kinds, left, size, 6)]
+        times = [min(left[x] // k for x, k in Counter(f).items()) for f in fillings]
+        return [*zip(fillings, times), *((f, 1) for f, m in zip(fillings, times) if m > 1)][::-1]
+
     descend = True
     while spent < nodes:
         if descend:
             if not kinds:
-                best = [list(b) for b in done]
+                best = [list(f) for f, m in done for _ in range(m)]
                 goal = len(best) - 1
                 if len(best) <= bound:
                     break
                 descend = False
                 continue
-            first = kinds[-1]
-            stack.append([[first, *c] for c in completions(first, kinds, left, size, 6)][::-1])
+            stack.append(choices())
         if len(done) == len(stack):  # undo the level's last choice
-            old = done.pop()
-            take(old, -1)
-            waste -= size - sum(old)
+            old, times = done.pop()
+            take(old, -times)
+            waste -= times * (size - sum(old))
         if not stack[-1]:
             stack.pop()
             descend = False
             if not stack:
                 break
             continue
-        filling = stack[-1].pop()
+        filling, times = stack[-1].pop()
         spent += 1
-        take(filling, 1)
-        done.append(filling)
-        waste += size - sum(filling)
+        take(filling, times)
+        done.append((filling, times))
+        waste += times * (size - sum(filling))
         descend = waste <= goal * size - total  # all the waste that a better packing can have
     return best
 

@@ -229,6 +229,18 @@ def test_bin_completion_beats_best_fit_and_meets_the_optimum():
     assert better > 0
 
 
+def test_bin_completion_takes_all_bins_of_a_large_group():
+    x = [1034] * 600 + [532] * 600 + [522] * 600 + [492] * 1200
+    got = packing.pack_lengths(x)
+    assert sorted(v for b in got for v in b) == sorted(x) and all(sum(b) <= 2048 for b in got)
+    assert len(got) == 900 and len(packing.best_fit(x, 2048)) == 1100
+    assert packing.least_bins([1100] * 10 + [900] * 3 + [800] * 9, 2048) == 11  # 2 of the 12 small ones, two in a bin
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        x = rng.integers(10, 90, 8).tolist()
+        assert packing.least_bins(x, 100) <= fewest(x, 100)
+
+
 def test_token_runs_encode_like_the_tokenizer(docs):
     from tessera.llm.tokens import run_ids
     from tokenizers import Tokenizer
