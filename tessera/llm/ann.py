@@ -6,8 +6,13 @@ part at the median of a smoothed vector of the graph and then swaps vectors
 across it while edges are saved.  A small network (one hidden layer) learns, for
 a vector, how its neighbours spread over the parts.  It places every row of the
 table into its most probable part and sends a query to as many of the most
-probable parts as the sample's own queries needed for ``TARGET`` recall.  Those
-parts' vectors are scored exactly, in double precision, and reranked.
+probable parts as ``TARGET`` recall needs between sample vectors that were kept
+out of the training (one in ``HELD``), queries and neighbours both.  Those parts'
+vectors are scored exactly, in double precision, and reranked.
+
+A part is learned from 64 sample vectors at least.  So a table of under 128
+vectors is one part; every other has two at least, and about ``PART_ROWS`` rows
+a part where it is large.
 
 A part is dealt into blocks of about ``BLOCK`` rows, and its queries too, so a
 part with a third of all rows (one vector repeated) is spread over tasks; a
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 from tessera.session import cut
 
 SAMPLE, PART_ROWS, MAX_PARTS, BLOCK, QUERIES, NEIGHBOURS, HIDDEN, TARGET, EVERY, K = 8192, 4096, 128, 8192, 4096, 15, 96, 0.97, 20, 20
+LEAST_PARTS, HELD = 2, 4
 
 
 def usable(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
@@ -124,22 +130,24 @@ class Router:
 
 def learn(x: np.ndarray, n_parts: int, k: int = K, target: float = TARGET) -> tuple[Router, int]:
     """The router and the number of parts a query is sent to."""
-    graph = neighbour_graph(x, NEIGHBOURS)
+    mixed = np.random.default_rng(1).permutation(len(x))
+    held, t = mixed[: len(x) // HELD], x[mixed[len(x) // HELD :]]
+    graph = neighbour_graph(t, NEIGHBOURS)
     part = balanced_parts(graph, n_parts)
-    soft = np.zeros((len(x), n_parts))
-    np.add.at(soft, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 1.0)
-    soft[np.arange(len(x)), part] += graph.shape[1]
-    router = Router.train(x, soft / soft.sum(axis=1, keepdims=True))
+    soft = np.zeros((len(t), n_parts))
+    np.add.at(soft, (np.repeat(np.arange(len(t)), graph.shape[1]), part[graph].ravel()), 1.0)
+    soft[np.arange(len(t)), part] += graph.shape[1]
+    router = Router.train(t, soft / soft.sum(axis=1, keepdims=True))
     z = router.logits(x)
     placed = z.argmax(axis=1)
-    q = np.random.default_rng(1).permutation(len(x))[:400]
-    near = neighbour_graph_of(x, q, k)
-    order = np.argsort(-z[q], axis=1)
+    near = neighbour_graph_of(x, held, k)
+    order = np.argsort(-z[held], axis=1)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(n_parts)[None, :], axis=1)
-    needed = place[np.arange(len(q))[:, None], placed[near]]
+    # most rows of a large table are as new to the router as these
+    needed = place[np.arange(len(held))[:, None], placed[near]][np.isin(near, held)]
     for p in range(1, n_parts + 1):
-        if (needed < p).mean() >= target:
+        if len(needed) and (needed < p).mean() >= target:
             return router, p
     return router, n_parts
 
@@ -191,7 +199,7 @@ def search(vectors: DataFrame, *, every: int = EVERY, k: int = K, sample: int =
     rows = rows.where(F.size("v") == dim)
     n = rows.count()
     n_parts = 1
-    while n_parts < MAX_PARTS and n_parts * PART_ROWS < n and n_parts * 64 < len(x):
+    while n_parts < MAX_PARTS and (n_parts < LEAST_PARTS or n_parts * PART_ROWS < n) and n_parts * 64 < len(x):
         n_parts *= 2
     router, probes = learn(x, n_parts, k, target) if n_parts > 1 else (None, 1)
 

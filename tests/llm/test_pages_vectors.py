@@ -128,6 +128,33 @@ def test_nearest_neighbours_recall_and_exact_scores(spark, monkeypatch):
     assert hits / total >= 0.9
 
 
+def test_probes_suffice_for_rows_that_the_router_has_not_seen():
+    x = np.random.default_rng(7).standard_normal((20000, 64))
+    router, probes = ann.learn(x[:1200], 16)
+    z = router.logits(x)
+    q = np.arange(19000, 20000)
+    home = z.argmax(axis=1)[ann.neighbour_graph_of(x, q, 20)]
+    asked = np.argsort(-z[q], axis=1)[:, :probes]
+    assert (home[:, :, None] == asked[:, None, :]).any(axis=2).mean() >= ann.TARGET
+
+
+@pytest.mark.parametrize("n, parts", [(1500, 2), (20000, 8)])
+def test_nearest_neighbours_are_routed_at_every_size(spark, monkeypatch, n, parts):
+    made, learn = [], ann.learn
+    monkeypatch.setattr(ann, "learn", lambda x, n_parts, *a: made.append(n_parts) or learn(x, n_parts, *a))
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((30, 16))[rng.integers(0, 30, n)] * 2 + rng.standard_normal((n, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.search(df, every=100).collect():
+        got.setdefault(r["query_id"], []).append(r["score"])
+    assert made == [parts] and set(got) == set(range(0, n, 100))
+    s = x[::100] @ x.T
+    s[np.arange(len(s)), np.arange(0, n, 100)] = -np.inf
+    floor = np.sort(s, axis=1)[:, -20]
+    assert np.mean([v >= floor[q // 100] - 1e-9 for q, vs in got.items() for v in vs]) >= 0.95
+
+
 def test_nearest_neighbours_defined_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [nan, 1.0]), (80, [None, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 1.0]), (4, [inf, 0.0]), (None, [1.0, 1.0]), (5, [1.0, 2.0, 3.0]), (100, [0.0, 1.0]), (100, [0.0, 1.0])]
