@@ -8,6 +8,7 @@ Filters come before quotas and limits.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,18 +216,24 @@ def drop_counters(df: DataFrame, reason: str = "reject_reason") -> DataFrame:
 
 
 def greedy_budget(items: DataFrame, budget: int, *, by: str, cost: str = "cost", order: str = "rank") -> DataFrame:
-    """Taken items of each query: in order, whatever still fits; what does not fit is skipped, not an end."""
+    """Taken items of each query: in order, whatever still fits; what does not fit is skipped, not an end.
 
-    def take(p: pd.DataFrame) -> pd.DataFrame:
-        left, keep = budget, []
-        p = p.sort_values(order)
-        for c in p[cost]:
-            ok = c <= left
-            left -= c if ok else 0
-            keep.append(ok)
-        return p[keep]
+    A query's rows come sorted, batch by batch; only the budget left is carried from one to the next.
+    """
 
-    return items.groupBy(by).applyInPandas(take, items.schema)
+    def take(batches):
+        key, left = object(), budget
+        for b in batches:
+            keep = []
+            for g, c in zip(b.column(by).to_pylist(), b.column(cost).to_pylist()):
+                if g != key:
+                    key, left = g, budget
+                ok = c is not None and c <= left
+                left -= c if ok else 0
+                keep.append(ok)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return items.repartition(by).sortWithinPartitions(by, order).mapInArrow(take, items.schema)
 
 
 def batch_split(items: DataFrame, max_items: int, max_tokens: int, *, by: str, cost: str = "cost", order: str = "rank") -> DataFrame:

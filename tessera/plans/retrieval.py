@@ -216,7 +216,7 @@ def term_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 def pack_budget(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", X.estimate(F.col("text")).alias("cost"))
-    r = R.ranked(docs, F.desc("cost"), F.asc("doc_id"), by=("source",)).where("rank <= 200")
+    r = R.ranked(docs, F.desc("cost"), F.asc("doc_id"), by=("source",))
     return R.greedy_budget(r, 4000, by="source").select("source", "doc_id", "cost", "rank")
 
 

@@ -73,6 +73,29 @@ def test_native_queries_stay_in_the_jvm(spark):
         assert "Python" not in p and "Arrow" not in p and "Pandas" not in p
 
 
+@pytest.fixture(scope="module")
+def many_of_a_source(spark, tmp_path_factory):
+    """450 documents of one source and 3 of another, with copies; 220 of the first are larger than any budget."""
+    d = tmp_path_factory.mktemp("many")
+    rows = [(i, "w " * (9000 + i if i < 220 else 1 + (i * 37) % 400), "a") for i in range(450)] + [(900 + i, "z" * (9 + i), "b") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{d}/documents.parquet")
+    return str(d)
+
+
+def test_pack_budget_sees_every_row_of_a_source(spark, many_of_a_source):
+    from tessera.functions import text as X
+
+    docs = spark.read.parquet(f"{many_of_a_source}/documents.parquet").select("doc_id", "source", X.estimate("text").alias("cost")).collect()
+    want, left, rank = set(), {}, Counter()
+    for r in sorted(docs, key=lambda r: (-r["cost"], r["doc_id"])):
+        rank[r["source"]] += 1
+        if r["cost"] <= left.setdefault(r["source"], 4000):
+            left[r["source"]] -= r["cost"]
+            want.add((r["source"], r["doc_id"], r["cost"], rank[r["source"]]))
+    got = [(r["source"], r["doc_id"], r["cost"], r["rank"]) for r in entry.queries()["pack_budget"](spark, many_of_a_source).collect()]
+    assert len(got) == len(want) and set(got) == want and max(r for *_, r in want) > 200
+
+
 def test_late_batches_do_not_move_a_view_back(spark):
     from tessera import streaming as ST
 
