@@ -258,28 +258,50 @@ def context_pack(items: DataFrame, budget: int, *, by: str = "query") -> DataFra
     content is packed once, stale items are left out with a reason.
     """
 
-    def fill(p: pd.DataFrame) -> pd.DataFrame:
-        left, seen, state = budget, set(), {}
-        p = p.sort_values("rank")
-        for r in p.itertuples():
-            if r.stale:
-                state[r.Index] = "stale"
-            elif r.content_hash in seen:
-                state[r.Index] = "duplicate"
-            elif r.skeleton_cost <= left:
-                seen.add(r.content_hash)
-                left -= r.skeleton_cost
-                state[r.Index] = "skeleton"
-            else:
-                state[r.Index] = "over_budget"
-        for r in p.itertuples():
-            if state[r.Index] == "skeleton" and r.body_cost - r.skeleton_cost <= left:
-                left -= r.body_cost - r.skeleton_cost
-                state[r.Index] = "body"
-        return p[[by, "rank", "id"]].assign(packed=[state[i] for i in p.index])
-
     kind = {c: items.schema[c].dataType.simpleString() for c in (by, "rank", "id")}
-    return items.groupBy(by).applyInPandas(fill, f"{by} {kind[by]}, rank {kind['rank']}, id {kind['id']}, packed string")
+
+    def fill(batches):
+        key, left, seen, held = object(), budget, set(), []  # held: the skeletons taken, whose bodies wait for the query's last row
+        names = [by, "rank", "id", "packed"]
+        types = None
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+        def bodies():
+            nonlocal left
+            out = []
+            for g, rank, i, more in held:
+                fits = more is not None and more <= left
+                left -= more if fits else 0
+                out.append((g, rank, i, "body" if fits else "skeleton"))
+            held.clear()
+            return out
+
+        for b in batches:
+            types = [b.schema.field(c).type for c in names[:3]] + [pa.string()]
+            out = []
+            for g, rank, i, content, skeleton, body, stale in zip(*(b.column(c).to_pylist() for c in (by, "rank", "id", "content_hash", "skeleton_cost", "body_cost", "stale"))):
+                if g != key:
+                    out += bodies()
+                    key, left, seen = g, budget, set()
+                if stale:
+                    out.append((g, rank, i, "stale"))
+                elif content in seen:
+                    out.append((g, rank, i, "duplicate"))
+                elif skeleton is not None and skeleton <= left:
+                    seen.add(content)
+                    left -= skeleton
+                    held.append((g, rank, i, None if body is None else body - skeleton))
+                else:
+                    out.append((g, rank, i, "over_budget"))
+            if out:
+                yield table(out)
+        if held:
+            yield table(bodies())
+
+    asked = items.select(by, "rank", "id", "content_hash", "skeleton_cost", "body_cost", "stale")
+    return asked.repartition(by).sortWithinPartitions(by, "rank").mapInArrow(fill, f"{by} {kind[by]}, rank {kind['rank']}, id {kind['id']}, packed string")
 
 
 def metrics(ranking: DataFrame, judgments: DataFrame, cutoffs: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

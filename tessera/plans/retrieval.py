@@ -222,7 +222,7 @@ def pack_budget(spark: SparkSession, d: str) -> DataFrame:
 
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("source").alias("query"), F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_hash"), X.estimate(F.substring("text", 1, 80)).alias("skeleton_cost"), X.estimate(F.col("text")).alias("body_cost"), (F.col("doc_id") % 11 == 0).alias("stale"))
-    r = R.ranked(docs, F.asc("id"), by=("query",)).where("rank <= 100")
+    r = R.ranked(docs, F.asc("id"), by=("query",))
     return R.context_pack(r, 4000)
 
 

@@ -96,6 +96,29 @@ def test_pack_budget_sees_every_row_of_a_source(spark, many_of_a_source):
     assert len(got) == len(want) and set(got) == want and max(r for *_, r in want) > 200
 
 
+def test_context_pack_gives_every_row_a_state(spark, many_of_a_source):
+    from tessera.functions import text as X
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{many_of_a_source}/documents.parquet").select("doc_id", "source", "text", X.estimate("text").alias("body"), X.estimate(F.substring("text", 1, 80)).alias("skeleton")).collect()
+    want = {}
+    for s in ("a", "b"):
+        left, seen, mine = 4000, set(), sorted((r for r in docs if r["source"] == s), key=lambda r: r["doc_id"])
+        for r in mine:
+            state = "stale" if r["doc_id"] % 11 == 0 else "duplicate" if r["text"] in seen else "skeleton" if r["skeleton"] <= left else "over_budget"
+            if state == "skeleton":
+                seen.add(r["text"])
+                left -= r["skeleton"]
+            want[r["doc_id"]] = state
+        for r in mine:
+            if want[r["doc_id"]] == "skeleton" and r["body"] - r["skeleton"] <= left:
+                left -= r["body"] - r["skeleton"]
+                want[r["doc_id"]] = "body"
+    got = entry.queries()["context_pack"](spark, many_of_a_source).collect()
+    assert len(got) == len(want) == 453 and {r["id"]: r["packed"] for r in got} == want
+    assert {"stale", "over_budget", "skeleton", "body"} <= set(want.values())
+
+
 def test_late_batches_do_not_move_a_view_back(spark):
     from tessera import streaming as ST
 
