@@ -64,10 +64,21 @@ def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page with text, in order."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool]] = []  # tag, class/id words, unseen
+    places: dict[str, list[int]] = {}  # of each tag's open elements in the stack
+    outer: list[int] = []  # places of the open elements that are not inline
     parts: list[str] = []
     linked = 0
     unseen = 0
 
+    def close(place: int) -> None:
+        nonlocal unseen
+        while len(stack) > place:
+            t, _, dark = stack.pop()
+            places[t].pop()
+            unseen -= dark
+            if t not in INLINE:
+                outer.pop()
+
     def end() -> None:
         nonlocal linked
         if parts:
@@ -83,7 +94,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         if text and not unseen:
             parts.append(text)
-            if any(t == "a" for t, _, _ in stack[-4:]):
+            if places.get("a"):
                 linked += len(text.strip())
 
     at, size = 0, len(page)
@@ -101,38 +112,30 @@ def blocks_of(page: str) -> list[Block]:
         if m[1]:
             if name not in INLINE:
                 end()
-            for i in range(len(stack) - 1, max(-1, len(stack) - 40), -1):
-                if stack[i][0] == name:
-                    unseen -= sum(u for _, _, u in stack[i:])
-                    del stack[i:]
-                    break
-                if name in INLINE and stack[i][0] not in INLINE:
-                    break
+            mine = places.get(name)
+            if mine and (name not in INLINE or not outer or mine[-1] > outer[-1]):
+                close(mine[-1])
             continue
         if name not in INLINE:
             end()
         if name in VOID:
             continue
-        if name in CLOSES_P:  # an open paragraph ends, with the inline elements in it
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    unseen -= sum(u for _, _, u in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+        if name in CLOSES_P and outer and stack[outer[-1]][0] == "p":  # an open paragraph ends, with the inline elements in it
+            close(outer[-1])
         attrs = m[3] or ""
         if attrs.endswith("/"):
             continue
         if name in RAW:  # their content has no tags
-            close = re.compile(f"</{name}\\s*>", re.I).search(page, at)
-            at = close.end() if close else size
+            stop = re.compile(f"</{name}\\s*>", re.I).search(page, at)
+            at = stop.end() if stop else size
             continue
         if name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
-            unseen -= stack[-1][2]
-            stack.pop()
+            close(len(stack) - 1)
         dark = name in UNSEEN or bool(attrs and _HIDDEN.search(attrs))
         unseen += dark
+        places.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            outer.append(len(stack))
         stack.append((name, _marks(attrs) if attrs else (), dark))
     end()
     return out

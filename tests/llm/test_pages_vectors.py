@@ -79,6 +79,14 @@ def test_crf_on_labelled_pages_it_was_not_trained_on():
     assert wrong / total < 0.03
 
 
+@pytest.mark.parametrize("tag", ["font", "div", "span"])
+def test_end_tags_and_links_are_found_at_any_depth(tag):
+    page = f"<body><article><p>first</p>{f'<{tag}>' * 60}inner</article><div>comment</div><a href=x>{'<span>' * 9}linked</a>plain</body>"
+    b = {x.text: x for x in htmltext.blocks_of(page)}
+    assert "article" in b["inner"].path and "article" not in b["comment"].path
+    assert b["linkedplain"].n_link == len("linked") and b["first"].n_link == b["comment"].n_link == 0
+
+
 def test_a_very_long_page_is_whole():
     body = "".join(f"<p>Sentence number {i} of a long article.</p>" for i in range(5000))
     text = htmltext.main_text(f"<body><nav><ul><li><a>x</a></li></ul></nav><article>{body}</article><footer>z</footer></body>")
