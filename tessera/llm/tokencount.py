@@ -11,7 +11,9 @@ end.  Summaries are scanned in two levels, ``SEGMENT`` blocks at a time, so a
 file with a third of all data is no single task's work; the data is not
 shuffled.
 
-Defined cases: documents without tokens count 0; tokens behind a file's last
+Defined cases: documents without tokens count 0; texts and documents of any
+length run over as many blocks as they need; an id that does not fit into
+``width`` bytes is an error; tokens behind a file's last
 end are a last document, with ``ended`` false; an empty file has no documents;
 a width that does not divide a block's bytes is an error; for ``write_flat``,
 null text counts as empty, repeated rows are each written, and extra columns
@@ -52,7 +54,10 @@ def write_flat(documents: DataFrame, tokenizer: str, end_id: int, *, block_bytes
         for b in batches:
             doc_kind = b.schema.field(0).type
             for data in ids.encode(b.column(1).to_pylist(), end_id):
-                held.append(np.frombuffer(data, "<u4").astype(f"<u{width}").tobytes())
+                x = np.frombuffer(data, "<u4")
+                if x.max() >> (8 * width):
+                    raise ValueError(f"a token id of {x.max()} does not fit into {width} bytes")
+                held.append(x.astype(f"<u{width}").tobytes())
                 size += len(held[-1])
                 if size >= 16 * block_bytes:
                     data = b"".join(held)

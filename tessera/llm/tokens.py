@@ -43,7 +43,9 @@ class RunIds:
         words, split, rest = {}, [], []
         for r in runs:
             base = r.rstrip(_PUNCTUATION)
-            text = base.decode("utf-8", "replace").lower()
+            text = base.decode("utf-8", "replace")
+            if not text.isascii():  # a character at a time, as the tokenizer does: str.lower() writes a last sigma otherwise
+                text = "".join(map(str.lower, text))
             if not text.isalpha() or len(text) > 200:
                 rest.append(r)
                 continue
