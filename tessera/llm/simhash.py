@@ -23,7 +23,7 @@ star contraction over DataFrames; the driver sees none of it.
 Defined cases: null or wordless text has fingerprint zero, which links like any
 other; repeated rows and equal doc_ids each give a row; an empty table gives no
 rows; null doc_ids take part in links but never name a component unless nothing
-else is there; extra columns are ignored.
+else is there; texts of any length are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ from tessera.session import cut
 
 THRESHOLD = 3
 LARGE = 4096
+HOT = 4096
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -60,7 +61,7 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
+    """doc_id, fp (the fingerprint's bits as a signed long) and h (a hash of the text) of every row."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -69,9 +70,13 @@ def fingerprints(documents: DataFrame, text_col: str = "text") -> DataFrame:
             for i, t in enumerate(b.column(1)):
                 t = t.as_buffer()
                 out[i] = fingerprint(t.to_pybytes() if t is not None else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64)), b.column(2)], names=["doc_id", "fp", "h"])
 
-    return documents.select("doc_id", F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return documents.select("doc_id", F.col(text_col).cast("binary").alias("t"), text_hash(text_col).alias("h")).mapInArrow(run, f"doc_id {kind}, fp bigint, h bigint")
+
+
+def text_hash(text_col: str):
+    return F.xxhash64(F.col(text_col).isNull(), F.col(text_col))
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -213,36 +218,47 @@ def links_within(placed: DataFrame, near: int = THRESHOLD) -> DataFrame:
     return placed.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(documents: DataFrame, *, near: int = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable) of every row."""
+def _grouped(documents: DataFrame, near: int, text_col: str) -> DataFrame:
+    """doc_id, fp, h, root (a fingerprint of the component) and component_id of every row."""
     docs = cut(fingerprints(documents, text_col))
-    distinct = docs.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    n = max(8, documents.rdd.getNumPartitions(), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = replicate(distinct.select("fp")).repartition(n, "anchor").sortWithinPartitions("anchor")
+    distinct = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    parts = max(8, documents.rdd.getNumPartitions(), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = replicate(distinct.select("fp")).repartition(parts, "anchor").sortWithinPartitions("anchor")
     roots = connected_components(links_within(placed, near))
     # the smallest doc_id of each component that has more than one fingerprint
     low = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "low").unionByName(
         distinct.join(roots.select("root").distinct(), distinct.fp == F.col("root"), "left_semi").select("fp", F.col("fp").alias("root"), "low"))
     low = cut(low)
     best = low.groupBy("root").agg(F.min("low").alias("c"))
-    of_linked = low.join(best, "root").select("fp", F.col("c").alias("linked"))
-    alone = distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("linked", "low").alias("component_id"))
-    return docs.join(alone, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_linked = low.join(best, "root").select("fp", "root", F.col("c").alias("linked"))
+    known = distinct.join(of_linked, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("linked", "low").alias("component_id"))
+    # a fingerprint with over 1/HOT of all rows is one of HOT at most: these are broadcast, the others' rows meet them by shuffle
+    many = F.col("n") * HOT > docs.count()
+    hot, cold = known.where(many).drop("n"), known.where(~many).drop("n")
+    return docs.join(F.broadcast(hot), "fp").unionByName(docs.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp"))
+
+
+def near_duplicates(documents: DataFrame, *, near: int = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable) of every row."""
+    return _grouped(documents, near, text_col).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(documents: DataFrame, *, near: int = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id, with all its columns.
+    """One document of each group of near-duplicates, with all its columns: the one with the smallest doc_id.
 
-    Rows that repeat both id and text are one document; rows without an id
-    cannot be named as a group's one and are all kept.
+    Where that id repeats within the group, its text with the smallest hash
+    stays, once; rows without an id come after all others.
     """
     from pyspark.sql import Window
 
-    named = documents.where(F.col("doc_id").isNotNull())
-    marked = near_duplicates(named, near=near, text_col=text_col)
-    stays = marked.where("doc_id = component_id").select("doc_id").distinct()
-    # clustered by doc_id already, so numbering repeated rows shuffles nothing more
-    w = Window.partitionBy("doc_id", F.xxhash64(text_col)).orderBy(F.lit(1))
-    number = "_n" + "_" * max(map(len, documents.columns))  # a name that no column has
-    kept = named.join(stays.hint("shuffle_hash"), "doc_id", "left_semi").withColumn(number, F.row_number().over(w)).where(F.col(number) == 1)
-    return kept.select(*[F.col(f"`{c}`") for c in documents.columns]).unionByName(documents.where(F.col("doc_id").isNull()))
+    rows = _grouped(documents, near, text_col)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("f"))
+    named = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit("n"))
+    names = documents.columns
+    free = "_" * (1 + max(map(len, names)))  # no column's name
+    keys, number = [f"{free}i", f"{free}h"], f"{free}n"
+    stays = first.select(named("f.doc_id").alias(keys[0]), F.col("f.h").alias(keys[1]))
+    # the join and the numbering of repeated rows have the same keys: one shuffle
+    w = Window.partitionBy(*keys).orderBy(F.lit(1))
+    kept = documents.withColumns({keys[0]: named("doc_id"), keys[1]: text_hash(text_col)}).join(stays.hint("shuffle_hash"), keys, "left_semi")
+    return kept.withColumn(number, F.row_number().over(w)).where(F.col(number) == 1).select(*[F.col(f"`{c}`") for c in names])

@@ -122,11 +122,32 @@ def test_keep_one_keeps_one_of_each_group_and_all_columns(docs):
     src = clash(docs)
     kept = simhash.keep_one(src)
     assert kept.columns == src.columns
-    named = [r for r in TEXTS if r[0] is not None]
-    fps = [brute_fingerprint(r[1]) for r in named]
-    want = {c for c in brute_components([r[0] for r in named], fps)}
+    fps = [brute_fingerprint(r[1]) for r in TEXTS]
+    want = set(brute_components([r[0] for r in TEXTS], fps))
     got = [r["doc_id"] for r in kept.collect()]
-    assert Counter(x for x in got if x is not None) == Counter(want) and got.count(None) == 2
+    assert Counter(got) == Counter(want)
+
+
+OTHER_TEXT = " ".join(f"other{i}" for i in range(40))
+
+
+@pytest.mark.parametrize("ids_and_texts, want", [
+    ([(1, OTHER_TEXT), (5, BASE), (5, OTHER_TEXT)], [(1, OTHER_TEXT), (5, BASE)]), ([(5, BASE), (5, BASE), (None, BASE)], [(5, BASE)]),
+    ([(None, BASE), (None, BASE), (None, None), (7, "")], [(7, ""), (None, BASE)]), ([(3, BASE), (3, BASE.upper()), (4, BASE)], None)])
+def test_keep_one_of_repeated_and_missing_ids(spark, ids_and_texts, want):
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(spark.createDataFrame(ids_and_texts, "doc_id bigint, text string")).collect()]
+    if want is None:  # one of two texts of the smallest id
+        assert len(got) == 1 and got[0][0] == 3
+    else:
+        assert Counter(got) == Counter(want)
+
+
+def test_a_hot_fingerprint_and_many_single_ones(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 8)
+    texts = [(i, BASE if i % 3 == 0 else " ".join(f"d{i}x{k}" for k in range(30))) for i in range(90)]
+    got = simhash.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    fps = [brute_fingerprint(t) for _, t in texts]
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(zip(range(90), brute_components(range(90), fps))) and len(got) == 90
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -246,11 +267,28 @@ def test_token_runs_encode_like_the_tokenizer(docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    texts = [r[1] for r in TEXTS] + ["it's a <|endoftext|> mark, don't!", "⌘ command ⌘", "a\u00a0b\u2003c", "ǅ İ ß \U0001f600 ok", "a" * 5000, "…--...!!!", "12,345.67 (x)"]
+    texts = [r[1] for r in TEXTS] + ["it's a <|endoftext|> mark, don't!", "⌘ command ⌘", "a\u00a0b\u2003c", "ǅ İ ß \U0001f600 ok", "a" * 5000, "…--...!!!", "12,345.67 (x)", "ΟΔΟΣ ΟΔΟΣ, Σ ΑΣ ΣΑΣ.", "ДОМ Дом"]
     for t, data in zip(texts, run_ids(tokenizer_path()).encode([None if t is None else t.encode() for t in texts])):
         assert np.frombuffer(data, "<u4").tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 0], t
 
 
+def test_mixed_alphabets_encode_like_the_tokenizer():
+    from tessera.llm.tokens import run_ids
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(tokenizer_path()), np.random.default_rng(11)
+    letters = list("abXYZ ΣσςΟΔαβ ДжЯя İıßẞ ǅǈ éÉñ שלום 中文字 0129 '.,!-_ \u0301")
+    texts = ["".join(rng.choice(letters, rng.integers(1, 24))) for _ in range(2000)]
+    for t, data in zip(texts, run_ids(tokenizer_path()).encode([t.encode() for t in texts])):
+        assert np.frombuffer(data, "<u4").tolist() == [*tok.encode(t, add_special_tokens=False).ids, 0], t
+
+
+def test_ids_that_do_not_fit_are_an_error(spark):
+    df = spark.createDataFrame([(1, BASE)], "doc_id bigint, text string")
+    with pytest.raises(Exception, match="does not fit"):
+        tokencount.count_documents(df, tokenizer_path(), 7, width=1)
+
+
 @pytest.mark.parametrize("block_bytes", [64, 1 << 12])
 def test_token_counts_across_blocks(docs, block_bytes):
     from tokenizers import Tokenizer
