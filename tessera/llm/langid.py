@@ -9,15 +9,18 @@ together from pieces of several languages, as in code-switched text.
 Forward-backward gives each word's label probabilities; a document's language
 has the largest sum of them, and its score is that sum's share.
 
-Fitting takes a bounded sample: the ``PER_LABEL`` labelled documents of each
-label with the smallest hash, ``TRAIN_CHARS`` characters of each at most.
+Fitting takes a bounded sample of labelled rows: the ``PER_LABEL`` documents of
+each label with the smallest hash of the id, and of each ``RUNS`` runs of
+``RUN`` words, one from every stretch of the whole text (all words of a text
+that has no more).  The rows are found by a threshold on the hash, so no label
+meets in one task.  At most the ``MAX_LABELS`` most frequent labels are learned.
 Prediction reads whole texts.  Long texts are cut into chunks only to compute
 side by side: a chunk is first a matrix from its left to its right edge, edges
 are then filled in along each document, so results are those of one pass.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; so
 is all text if nothing labelled was learned from; ties go to the first label in
-order; repeated rows each give a row; documents without a label are predicted
+order; texts of any length are read whole; repeated rows each give a row; documents without a label are predicted
 but not learned from; extra columns are ignored by ``predict`` and kept by
 ``keep_identified``.
 """
@@ -28,10 +31,10 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIM, RUN, PER_LABEL, TRAIN_CHARS, STEPS, BATCH, CHUNK = 1 << 16, 32, 400, 20_000, 160, 192, 96
+DIM, RUN, RUNS, PER_LABEL, STEPS, BATCH, CHUNK = 1 << 16, 32, 64, 400, 160, 192, 96
 MAX_LABELS = 256
 CACHE = 400_000
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32) for c in range(256))
@@ -245,21 +248,39 @@ class Model:
         return lang, score
 
 
+def sampled(text: bytes, runs: int = RUNS, run: int = RUN) -> bytes:
+    """``runs`` runs of words, one at a random place of each equal stretch of the text; all words where there are no more."""
+    w = words_of(text)
+    if len(w) > runs * run:
+        edge = np.linspace(0, len(w), runs + 1).astype(int)
+        at = np.random.default_rng(crc32(text)).integers(edge[:-1], edge[1:] - run + 1)
+        w = [x for i in at.tolist() for x in w[i : i + run]]
+    return b" ".join(w)
+
+
 def fit(documents: DataFrame, *, per_label: int = PER_LABEL, text_col: str = "text", label_col: str = "lang") -> Model:
-    """A model from the rows of ``documents`` that have a label."""
-    d = documents.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = d.select("doc_id", F.col(label_col).alias("y"))
-    w = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_label).select("doc_id").distinct()
-    picked = [r["doc_id"] for r in chosen.limit(per_label * MAX_LABELS).collect()]  # bounded by its parameters
-    if not picked:
+    """A model from the rows of ``documents`` that have an id, a label and a text."""
+    d = documents.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col("doc_id").isNotNull())
+    count = d.groupBy(F.col(label_col).alias("y")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(MAX_LABELS).collect()
+    if not count:
         return Model([], np.zeros((DIM, 0), np.float32), np.zeros((0, 0)))
-    rows = d.where(F.col("doc_id").isin(picked)).select(F.col(label_col).alias("y"), F.substring(text_col, 1, TRAIN_CHARS).cast("binary").alias("t")).limit(4 * len(picked)).collect()
+    # of each label half as many again as are asked for, so that chance leaves enough
+    share = F.create_map(*[x for r in count for x in (F.lit(r["y"]), F.lit(min(1 << 31, (3 * per_label << 30) // r["n"] + 1)))])
+    some = d.select(F.col(label_col).alias("y"), F.xxhash64("doc_id").alias("h"), F.col(text_col).cast("binary").alias("t")).where(F.pmod("h", F.lit(1 << 31)) < share[F.col("y")])
+
+    def pick(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sampled(t) for t in b.column(2).to_pylist()], pa.binary())], names=["y", "h", "t"])
+
+    # an id that repeats with a label is taken once
+    rows = some.mapInArrow(pick, "y string, h bigint, t binary").groupBy("y", "h").agg(F.min("t").alias("t")).collect()
     labels = sorted({r["y"] for r in rows})
-    number = {y: i for i, y in enumerate(labels)}
-    # the order of rows must not matter
-    docs = sorted((number[r["y"]], bytes(r["t"])) for r in rows)
-    return Model(labels, *train(docs, len(labels)))
+    docs, taken = [], dict.fromkeys(labels, 0)
+    for r in sorted(rows, key=lambda r: (r["h"] % (1 << 31), r["h"], r["y"])):
+        if taken[r["y"]] < per_label:
+            taken[r["y"]] += 1
+            docs.append((labels.index(r["y"]), bytes(r["t"])))
+    return Model(labels, *train(sorted(docs), len(labels)))
 
 
 _MODELS: dict[str, Model] = {}
