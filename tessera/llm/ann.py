@@ -189,15 +189,17 @@ def search(vectors: DataFrame, *, every: int = EVERY, k: int = K, sample: int =
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row whose id ``every`` divides."""
     spark = vectors.sparkSession
     rows = usable(vectors, vec_col)
-    got = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    if not got:
+    n = rows.count()
+    if not n:
         return empty
+    # a threshold on the hash leaves about twice the sample, wherever the rows are; the smallest hashes of these are taken
+    near = rows.withColumn("h", F.xxhash64("id")).where(F.pmod("h", F.lit(1 << 31)) <= min(1 << 31, (sample << 32) // n))
+    got = near.groupBy("h", "id").agg(F.min("v").alias("v")).orderBy(F.pmod("h", F.lit(1 << 31)), "id").limit(sample).collect()
     sizes = np.bincount([len(r["v"]) for r in got])
     dim = int(sizes.argmax())
     x = np.asarray([r["v"] for r in got if len(r["v"]) == dim], dtype=np.float64)
     rows = rows.where(F.size("v") == dim)
-    n = rows.count()
     n_parts = 1
     while n_parts < MAX_PARTS and (n_parts < LEAST_PARTS or n_parts * PART_ROWS < n) and n_parts * 64 < len(x):
         n_parts *= 2
