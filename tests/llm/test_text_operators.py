@@ -40,7 +40,7 @@ def clash(df):
     """The table with extra columns named like those that the operators make."""
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit(7) for c in ("fp", "t", "h", "s", "fingerprint", "component_id", "n_words", "score", "labels", "held_out", "piece", "g", "_hit_words", "_n", "file", "block", "anchor")})
+    return df.withColumns({c: F.lit(7) for c in ("fp", "t", "h", "s", "fingerprint", "component_id", "n_words", "score", "labels", "held_out", "piece", "g", "marked", "spans", "_n", "file", "block", "anchor")})
 
 
 def brute_fingerprint(text):
@@ -172,20 +172,21 @@ def brute_hits(text):
     return len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 60])
-def test_decontaminate_equals_brute_force(spark, docs, block):
+@pytest.mark.parametrize("nodes", [1 << 20, 60])
+def test_decontaminate_equals_brute_force(spark, docs, nodes):
     bench = spark.createDataFrame(ITEMS, "item_id string, text string")
-    got = contaminate.decontaminate(clash(docs), bench, max_block_bytes=block).collect()
-    assert Counter(map(tuple, got)) == Counter((r[0], *brute_hits(r[1])) for r in TEXTS)
-    clean = contaminate.drop_contaminated(clash(docs), bench, max_block_bytes=block)
+    got = contaminate.decontaminate(clash(docs), bench, max_nodes=nodes).collect()
+    assert Counter(tuple(r)[:-1] for r in got) == Counter((r[0], *brute_hits(r[1])) for r in TEXTS)
+    by = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in got}
+    assert by[3] == [(0, len(BASE))] and by[4] == [] and by[2] == [(0, len(BASE))]
+    clean = contaminate.drop_contaminated(clash(docs), bench, max_nodes=nodes)
     assert clean.columns == clash(docs).columns
     assert Counter(r["text"] for r in clean.collect()) == Counter(r[1] for r in TEXTS if not brute_hits(r[1])[4])
 
 
 def test_decontaminate_spans_lead_to_the_original():
     text = "Ünder – The QUICK brown-fox, jumps".encode()
-    auto = contaminate._automaton(contaminate.windows_of([("a", b"quick brown fox")]))
-    n, hits, items = contaminate.scan_text(auto, text)
+    n, hits, items = contaminate.Matcher([(b"quick brown fox", ("a",))]).scan(text)
     (a, z), = contaminate.spans_in_original(text, hits)
     assert text.decode()[a:z] == "QUICK brown-fox" and items == {"a"} and n == 7  # the dash is a word too
 
@@ -375,6 +376,19 @@ def test_langid_words_of_code_switched_text(speech):
     assert [model.labels[i] for i in best[[1, 5, 9, 14, 18, 22]]] == ["en"] * 3 + ["de"] * 3
 
 
+def test_langid_samples_runs_of_the_whole_text():
+    text = " ".join("word" + "abcdefghij"[i // 1000 % 10] + "klmnopqrst"[i // 100 % 10] + "uvwxyzabcd"[i // 10 % 10] for i in range(10_000)).encode()
+    w = langid.sampled(text).split()
+    assert len(w) == langid.RUN * langid.RUNS and {x[4:5] for x in w} == {c.encode() for c in "abcdefghij"}
+    assert langid.sampled(b"one two, three") == b"one two three" and langid.sampled(b"") == b""
+
+
+def test_langid_sample_does_not_depend_on_partitions(speech):
+    a = langid.fit(speech, per_label=20)
+    b = langid.fit(speech.repartition(7), per_label=20)
+    assert a.labels == b.labels == ["de", "en", "fr"] and (a.weights == b.weights).all()
+
+
 def test_langid_marginals_equal_plain_forward_backward():
     rng = np.random.default_rng(0)
     e, t = rng.standard_normal((37, 3)).astype(np.float32), rng.standard_normal((3, 3))
