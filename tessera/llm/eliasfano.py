@@ -1,9 +1,9 @@
-"""Elias-Fano sequences and the n-gram trie made of them, over numpy buffers.
+"""Elias-Fano sequences and the levels of an n-gram trie made of them, over numpy buffers.
 
 A sorted sequence of n numbers below u keeps log2(u/n) low bits of each in a
 packed array and the rest as a unary bit vector: about 2 + log2(u/n) bits a
-number.  All parts are flat arrays, so a trie can be written to a file and
-mapped back without being read (``save`` / ``load``).
+number.  All parts are flat arrays, so a level is one run of bytes
+(``to_bytes``) that is used where it lies (``view``) or mapped (``load``).
 """
 
 from __future__ import annotations
@@ -101,58 +101,72 @@ class EliasFano:
         return [self.n, self.low_bits], [self.low, self.high]
 
 
-EXACT, STEPS_PER_DECADE = 127, 16
+STEP = 0.05  # decades of probability
 
 
-def quantise(count: np.ndarray) -> np.ndarray:
-    """A count as one byte: itself up to ``EXACT``, then log10 in steps of 1/16, rounded down, up to 10^10 and more."""
-    steps = np.floor(np.log10(np.maximum(count, EXACT) / EXACT) * STEPS_PER_DECADE + 1e-9)
-    return np.where(count <= EXACT, count, np.minimum(255, EXACT + steps)).astype(np.uint8)
+def quantise(p: np.ndarray) -> np.ndarray:
+    """A probability as one byte from 1 (1) to 255 (10^-12.7 and less): log10 p to the nearest multiple of ``STEP``; 0 is no probability."""
+    return np.clip(1 - np.rint(np.log10(p) / STEP), 1, 255).astype(np.uint8)
 
 
 def dequantise(code: np.ndarray) -> np.ndarray:
-    table = np.concatenate([np.arange(EXACT), EXACT * 10.0 ** (np.arange(256 - EXACT) / STEPS_PER_DECADE)])
-    return table[code]
+    return 10.0 ** (-STEP * (np.arange(256) - 1))[code]
 
 
-class Trie:
-    """Two levels: words, and the words that follow them.
+class Words:
+    """The first level: word hashes, and their counts as the differences of a monotone sequence."""
 
-    words: word hashes; totals: cumulative counts, so a count is the difference
-    of two monotone numbers; contexts: hashes of words that have followers;
-    pointers: where each context's followers begin; followers: 32-bit hashes
-    made monotone by the context's place; codes: their quantised counts.
-    """
-
-    def __init__(self, words: EliasFano, totals: EliasFano, contexts: EliasFano, pointers: EliasFano, followers: EliasFano, codes: np.ndarray):
-        self.words, self.totals, self.contexts, self.pointers, self.followers, self.codes = words, totals, contexts, pointers, followers, codes
+    def __init__(self, words: EliasFano, totals: EliasFano):
+        self.words, self.totals = words, totals
 
     @classmethod
-    def build(cls, words: np.ndarray, counts: np.ndarray, contexts: np.ndarray, n_followers: np.ndarray, followers: np.ndarray, follower_counts: np.ndarray) -> Trie:
-        """From rising words and contexts, and each context's rising followers."""
+    def build(cls, words: np.ndarray, counts: np.ndarray) -> Words:
         ends = np.concatenate([[0], np.cumsum(counts)])
-        ptr = np.concatenate([[0], np.cumsum(n_followers)])
-        place = np.repeat(np.arange(len(contexts), dtype=np.uint64), n_followers)
-        bits = max(1, len(contexts)).bit_length() + 32
-        return cls(EliasFano.of(words), EliasFano.of(ends, max(1, int(ends[-1])).bit_length()), EliasFano.of(contexts), EliasFano.of(ptr, max(1, int(ptr[-1])).bit_length()),
-                   EliasFano.of((place << U64(32)) | followers.astype(np.uint64), bits), quantise(follower_counts))
+        return cls(EliasFano.of(words), EliasFano.of(ends, max(1, int(ends[-1])).bit_length()))
 
     def count(self, word: np.ndarray) -> np.ndarray:
-        at = self.words.find(word)
-        ok = at >= 0
-        out = np.zeros(len(word), np.int64)
-        out[ok] = (self.totals.get(at[ok] + 1) - self.totals.get(at[ok])).astype(np.int64)
-        return out
+        return counts_at(self.totals, self.words.find(word))
+
+
+def counts_at(totals: EliasFano, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(at), np.int64)
+    ok = at >= 0
+    out[ok] = (totals.get(at[ok] + 1) - totals.get(at[ok])).astype(np.int64)
+    return out
+
+
+class Level:
+    """A further level: contexts (hashes of grams of the level before) and the words that follow them.
+
+    pointers: where each context's followers begin, a monotone sequence;
+    followers: 32-bit hashes, made monotone by the context's place; codes: the
+    quantised smoothed probability of each; totals: cumulative counts, so that a
+    count is the difference of two of them.  All parts are flat arrays.
+    """
 
-    def code(self, contexts: np.ndarray, n: np.ndarray, followers: np.ndarray) -> np.ndarray:
-        """Codes of followers (0: absent), n[i] of them for contexts[i]: a successor search relative to the context."""
+    def __init__(self, contexts: EliasFano, pointers: EliasFano, followers: EliasFano, totals: EliasFano, codes: np.ndarray):
+        self.contexts, self.pointers, self.followers, self.totals, self.codes = contexts, pointers, followers, totals, codes
+
+    @classmethod
+    def build(cls, contexts: np.ndarray, n: np.ndarray, followers: np.ndarray, counts: np.ndarray, p: np.ndarray) -> Level:
+        """From rising contexts, and each one's ``n`` rising followers with their counts and probabilities."""
+        ptr, ends = (np.concatenate([[0], np.cumsum(x)]) for x in (n, counts))
+        place = np.repeat(np.arange(len(contexts), dtype=np.uint64), n)
+        bits = max(1, len(contexts)).bit_length() + 32
+        return cls(EliasFano.of(contexts), EliasFano.of(ptr, max(1, int(ptr[-1])).bit_length()), EliasFano.of((place << U64(32)) | followers.astype(np.uint64), bits),
+                   EliasFano.of(ends, max(1, int(ends[-1])).bit_length()), quantise(p))
+
+    def find(self, contexts: np.ndarray, n: np.ndarray, followers: np.ndarray) -> np.ndarray:
+        """Places of followers (-1: absent), ``n[i]`` of them for ``contexts[i]``: a successor search relative to the context."""
         place = np.repeat(self.contexts.find(contexts), n)
         ok = place >= 0
-        out = np.zeros(len(followers), np.uint8)
-        at = self.followers.find((place[ok].astype(np.uint64) << U64(32)) | followers[ok].astype(np.uint64))
-        out[ok] = np.where(at >= 0, self.codes[np.maximum(at, 0)] if len(self.codes) else 0, 0)
+        out = np.full(len(followers), -1, np.int64)
+        out[ok] = self.followers.find((place[ok].astype(np.uint64) << U64(32)) | followers[ok].astype(np.uint64))
         return out
 
+    def code(self, at: np.ndarray) -> np.ndarray:
+        return np.where(at >= 0, self.codes[np.maximum(at, 0)], 0).astype(np.uint8) if len(self.codes) else np.zeros(len(at), np.uint8)
+
     def followers_of(self, context: int) -> tuple[np.ndarray, np.ndarray]:
         at = self.contexts.find(np.asarray([context], np.uint64))
         if at[0] < 0:
@@ -160,23 +174,23 @@ class Trie:
         lo, hi = self.pointers.get(np.asarray([at[0], at[0] + 1])).astype(np.int64).tolist()
         return self.followers.get(np.arange(lo, hi)) & U64(0xFFFFFFFF), self.codes[lo:hi]
 
-    def save(self, path: str) -> None:
+    def to_bytes(self) -> bytes:
         heads, arrays = [], []
-        for level in (self.words, self.totals, self.contexts, self.pointers, self.followers):
-            h, a = level.parts()
+        for part in (self.contexts, self.pointers, self.followers, self.totals):
+            h, a = part.parts()
             heads.append(h)
             arrays += a
         arrays.append(self.codes)
-        head = json.dumps({"levels": heads, "sizes": [[a.dtype.str, len(a)] for a in arrays]}).encode()
-        with open(path, "wb") as f:
-            f.write(len(head).to_bytes(8, "little") + head + b" " * (-(8 + len(head)) % 8))
-            for a in arrays:
-                f.write(a.tobytes() + bytes(-a.nbytes % 8))
+        head = json.dumps({"parts": heads, "sizes": [[a.dtype.str, len(a)] for a in arrays]}).encode()
+        out = [len(head).to_bytes(8, "little"), head, b" " * (-(8 + len(head)) % 8)]
+        for a in arrays:
+            out += [a.tobytes(), bytes(-a.nbytes % 8)]
+        return b"".join(out)
 
     @classmethod
-    def load(cls, path: str) -> Trie:
-        """Mapped, not read."""
-        raw = np.memmap(path, dtype=np.uint8, mode="r")
+    def view(cls, raw) -> Level:
+        """Over a buffer (a mapped file, a cell of a table): nothing is copied or read ahead."""
+        raw = np.frombuffer(raw, np.uint8)
         n = int.from_bytes(raw[:8].tobytes(), "little")
         head = json.loads(raw[8 : 8 + n].tobytes())
         at, arrays = 8 + n + (-(8 + n) % 8), []
@@ -184,4 +198,9 @@ class Trie:
             width = size * np.dtype(kind).itemsize
             arrays.append(raw[at : at + width].view(kind))
             at += width + (-width % 8)
-        return cls(*[EliasFano(*h, arrays[2 * i], arrays[2 * i + 1]) for i, h in enumerate(head["levels"])], arrays[-1])
+        return cls(*[EliasFano(*h, arrays[2 * i], arrays[2 * i + 1]) for i, h in enumerate(head["parts"])], arrays[-1])
+
+    @classmethod
+    def load(cls, path: str) -> Level:
+        """Mapped, not read."""
+        return cls.view(np.memmap(path, dtype=np.uint8, mode="r"))

@@ -309,21 +309,62 @@ def test_token_files_as_bytes(spark, tmp_path):
         tokencount.document_tokens(tokencount.read_flat(spark, f"{tmp_path}/a.bin", block_bytes=3), 9).collect()
 
 
-def test_lm_base_score_and_normalised_model(spark, docs):
-    got = lm.score(clash(docs), block=20_000).collect()
+def brute_lm(order):
+    """Rows by the model's formula over plain dictionaries, with the quantiser where a gram is stored."""
+    from tessera.llm.eliasfano import dequantise, quantise
+
     train = [r for r in TEXTS if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2]
-    split = lambda t: [*(t or "").encode().lower().split(), b"\n"]
-    c = Counter(w for r in train for w in split(r[1]))
-    n, v = sum(c.values()), len(c)
-    pair = Counter(p for r in train for w in [split(r[1])] for p in zip([b" ", *w], w))
-    ctx = Counter({**c, b" ": len(train)})
-    p1 = lambda w: (c[w] + 1) / (n + v + 1)
-    want = Counter()
+    split = lambda t: [*(lm.start(k) for k in range(order - 1, 0, -1)), *(t or "").encode().lower().split(), b"\n"]
+    count = Counter()
+    for r in train:
+        w = split(r[1])
+        count.update(tuple(w[i - k + 1 : i + 1]) for i in range(len(w)) for k in range(1, order + 1) if i - k + 1 >= 0)
+    real = {g: c for g, c in count.items() if len(g) == 1 and g[0].strip(b" ")}
+    n, v = sum(real.values()), len(real)
+
+    def p(g, stored=True):
+        if len(g) == 1:
+            return (count[g] + 1) / (n + v + 1)
+        m = lm.MASS[len(g)]
+        x = (count[g] + m * p(g[1:])) / (count[g[:-1]] + m)
+        return float(dequantise(quantise(np.asarray([x])))[0]) if count[g] else x
+
+    out = Counter()
     for r in TEXTS:
         w = split(r[1])
-        model = sum(math.log10((pair[a, b] + lm.M * p1(b)) / (ctx[a] + lm.M)) for a, b in zip([b" ", *w], w))
-        want[r[0], r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2, len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10(p1(x)) for x in w), 5), round(model, 5)] += 1
-    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in got) == want
+        at = range(order - 1, len(w))
+        out[r[0], r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2, len(at), sum(count[w[i],] > 0 for i in at), n,
+            round(sum(math.log10(p((w[i],))) for i in at), 5), round(sum(math.log10(p(tuple(w[i - order + 1 : i + 1]))) for i in at), 2)] += 1
+    return out
+
+
+@pytest.mark.parametrize("order, block, shards, hot", [(3, 20_000, None, 4096), (3, 40, 5, 2), (2, 20_000, 3, 4096), (1, 20_000, None, 4096)])
+def test_lm_equals_its_formula(docs, monkeypatch, order, block, shards, hot):
+    monkeypatch.setattr(lm, "HOT", hot)
+    got = lm.score(clash(docs), order=order, block=block, shards=shards).collect()
+    want = brute_lm(order)
+    key = lambda r: (r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5))
+    assert Counter(map(key, got)) == sum((Counter({k[:-1]: c}) for k, c in want.items()), Counter())  # the exact columns
+    # a probability next to the edge of two steps may take either: a step a token at most, and hardly any take it
+    for r in got:
+        near = [k[-1] for k in want if k[:-1] == key(r)]
+        assert min(abs(r["score"] - x) for x in near) <= 0.01 + 0.0005 * r["n_tokens"] + (0.05 if order > 1 else 0)
+
+
+def test_lm_sums_to_one_within_the_quantiser():
+    from tessera.llm.eliasfano import STEP, dequantise, quantise
+
+    p = np.random.default_rng(0).dirichlet(np.full(5000, 0.3)) + 1e-12
+    assert np.abs(np.log10(dequantise(quantise(p)) / p)).max() <= STEP / 2 + 1e-9
+    assert abs(dequantise(quantise(p)).sum() - 1) < 0.02
+
+
+def test_lm_learns_from_all_documents_but_the_held_out(spark):
+    docs = [(i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(60)]
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame([*docs, (100, docs[0][1]), (101, docs[0][1])], "doc_id bigint, text string")).collect()}
+    once = [r["score"] for i, r in got.items() if not r["held_out"] and 0 < i < 100]
+    new = [r["score"] for i, r in got.items() if r["held_out"] and 0 < i < 100]
+    assert got[100]["score"] > max(once) and min(once) > max(new)  # a repeated text is told from those that occur once
 
 
 def brute_license(text):
