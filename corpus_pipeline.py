@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet in the shared folder and read again as the next one's docs.
 All but the last return the columns of ``documents``.
+
+Defined cases: documents with null text or none of a letter go in the first
+stage (no language can be told); rows without a doc_id stay, once for each
+group of near-duplicates that has no row with one; rows that repeat id and text
+are one document; an empty table gives no sequences; texts of any length are
+read whole; extra columns of ``documents``, whatever their names, pass all
+stages but the last.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from tessera.llm.langid import keep_identified
 from tessera.llm.packing import pack
 from tessera.llm.queries import tokenizer_path
 from tessera.llm.simhash import keep_one
-from tessera.session import table, workers_see_package
+from tessera.session import forget, shared_folder, table, workers_see_package
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +61,13 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed sequences of ``documents`` after all stages."""
     workers_see_package(spark)
-    base = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            forget(spark, before)
+        before = path
     return docs
