@@ -14,11 +14,15 @@ a token's log10 probability is off by 0.025 at most at each level, and sums
 over the vocabulary are 1 to within the same); what it has not stored is formed
 by the formula with a count of zero.
 
+A level has the contexts that occur ``LEAST`` times or more; after others the
+shorter gram's probability is taken as it is.
+
 Documents become blocks of about ``BLOCK`` tokens: numbers of the block's own
-words, stored once in the shared folder.  Level by level a block then sends its
-distinct grams with the counts of its training documents to shards, an entry a
-block at most, however frequent a gram is; only grams whose context and last
-word the model has.  With them go what the levels before have told the block:
+words, stored once in the shared folder in buckets by block, so that meeting
+the answers moves only these.  Level by level a block then sends its distinct
+grams with the counts of its training documents to shards, an entry a block at
+most, however frequent a gram is; only grams whose context and last word the
+model has.  With them go what the levels before have told the block:
 the context's count and the probability of the shorter gram.  A shard adds up
 the counts, forms the probabilities, builds its level and answers every block by
 the level's own successor search.  Nothing about the vocabulary is broadcast or
@@ -30,9 +34,9 @@ need comes with the grams.  There are as many shards as blocks of full size, so
 a shard's rows do not grow with the corpus, and a block sends no row to a shard
 that it has no gram for.
 
-Words are known by 64-bit hashes, followers by 32 bits of them within their
-context: the chance that a gram is taken for another one is the number of
-followers over 2^32.
+Words are known by 64-bit hashes, contexts by 40 bits besides their shard's and
+followers by 32 bits within their context: the chance that a gram is taken for
+another one is about a shard's contexts over 2^40 and followers over 2^32.
 
 Defined cases: null text counts as empty, one end token; repeated rows are each
 scored and counted; a document of any length is one block's; an empty table
@@ -42,20 +46,21 @@ ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.eliasfano import Level, Words, counts_at, dequantise
-from tessera.session import cut
+from tessera.llm.eliasfano import Level, Words, counts_at, dequantise, quantise
+from tessera.session import cut, shared_folder
 
 BLOCK, SHARDS, HOT, ORDER = 2_500_000, 8, 4096, 3
-MASS = (0.0, 0.0, 60.0, 4.0)  # by the number of words in a gram
+MASS, LEAST = (0.0, 0.0, 60.0, 4.0), (0, 0, 1, 2)  # by the number of words in a gram
 END = b"\n"  # no word holds white space, and neither do the marks before a document hold anything else
 U64 = np.uint64
-FINE = 4096.0  # steps a decade of the probabilities that go with grams
 
 
 def start(k: int) -> bytes:
@@ -75,26 +80,33 @@ def _hash(words) -> np.ndarray:
 
 
 def squeezed(x: np.ndarray) -> bytes:
-    """uint32 numbers by byte planes, compressed."""
-    planes = np.ascontiguousarray(x, dtype="<u4").view(np.uint8).reshape(-1, 4).T
-    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+    """Numbers by byte planes, compressed: a first byte tells the width, eight more how many."""
+    width = x.dtype.itemsize
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def unsqueezed(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], decompressed_size=width * n, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
 def narrow(x: np.ndarray) -> bytes:
-    """Small counts as bytes, larger ones wider: the first byte tells."""
+    """Counts in the least width that holds them all."""
     top = x.max() if len(x) else 0
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    return squeezed(x.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8"))
 
 
 def wide(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, dtype=f"<u{x[0]}", offset=1).astype(np.int64)
+    return unsqueezed(x).astype(np.int64)
+
+
+def stored(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` written in the shared folder in buckets by ``key``, and read from there."""
+    spark, name = df.sparkSession, f"lm_blocks_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 class Packer:
@@ -138,12 +150,10 @@ class Block:
         self.p: list[np.ndarray] = []
         self._place(np.arange(len(self.hashes[0])), (self.hashes[0] >> U64(8)) % U64(shards))
 
-    def _place(self, asked: np.ndarray, shard: np.ndarray, within: np.ndarray | None = None) -> None:
+    def _place(self, asked: np.ndarray, shard: np.ndarray, context: np.ndarray | None = None) -> None:
         """asked: grams by shard and context; cuts: where each shard's begin."""
-        shard = shard.astype(np.int64)
-        key = shard if within is None else shard * (int(within.max(initial=0)) + 1) + within
-        order = np.argsort(key, kind="stable")
-        self.asked, self.cuts = asked[order], np.searchsorted(shard[order], np.arange(self.shards + 1))
+        order = np.argsort(shard if context is None else (shard << U64(40)) | context, kind="stable")
+        self.asked, self.cuts = asked[order], np.searchsorted(shard[order], np.arange(self.shards + 1, dtype=np.uint64))
 
     def counts(self) -> np.ndarray:
         """Of each gram of this level in training documents."""
@@ -159,12 +169,12 @@ class Block:
             if counts:
                 count[mine] = wide(counts)
             if codes:
-                code[mine] = np.frombuffer(codes, np.uint8)
+                code[mine] = unsqueezed(codes)
         if self.level == 1:
             self.p.append((count + 1.0) / (self.n_all + self.v_all + 1.0))
         else:
             mass, shorter, of = MASS[self.level], self.p[-1][self.suffix], self.c[-1][self.context]
-            self.p.append(np.where(code > 0, dequantise(code), mass * shorter / (of + mass)))
+            self.p.append(np.where(code > 0, dequantise(code), mass * shorter / (np.where(of < LEAST[self.level], 0, of) + mass)))
         self.c.append(count)
         if self.level < self.order:
             self._next()
@@ -182,10 +192,11 @@ class Block:
         mixed = (self.hashes[-1][self.context] ^ U64(0x9E3779B97F4A7C15)) * U64(0xC2B2AE3D27D4EB4F) ^ words[self.follower]
         self.hashes.append(mixed ^ (mixed >> U64(29)))
         # what the model cannot have is not asked for
-        ask = np.flatnonzero((self.c[-1][self.context] > 0) & (self.c[0][self.follower] > 0))
+        ask = np.flatnonzero((self.c[-1][self.context] >= LEAST[self.level]) & (self.c[0][self.follower] > 0))
         context, follower = self.hashes[-2][self.context[ask]], words[self.follower[ask]]
         hot = self.c[-1][self.context[ask]] * HOT > self.n_all
-        self._place(ask, np.where(hot, (context >> U64(8)) + (follower >> U64(32)) * U64(0x9E3779B1), context >> U64(8)) % U64(self.shards), self.context[ask])
+        shard = np.where(hot, (context >> U64(8)) + (follower >> U64(32)) * U64(0x9E3779B1), context >> U64(8)) % U64(self.shards)
+        self._place(ask, shard, top40(context))
 
     def asks(self):
         """Of each shard that has grams: context hashes, followers of each, context counts, followers, counts, shorter grams' probabilities."""
@@ -197,9 +208,13 @@ class Block:
                 continue
             c = self.context[mine]
             new = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-            shorter = np.minimum(np.rint(-np.log10(self.p[-1][self.suffix[mine]]) * FINE), 65535).astype("<u2")
-            yield (s, self.hashes[-2][c[new]].tobytes(), narrow(np.diff(np.append(new, len(mine)))), narrow(self.c[-1][c[new]]),
-                   low32(self.hashes[0][self.follower[mine]]).tobytes(), narrow(counts[mine]), shorter.tobytes())
+            rising = top40(self.hashes[-2][c[new]])
+            yield (s, squeezed(np.diff(rising, prepend=U64(0))), narrow(np.diff(np.append(new, len(mine)))), narrow(self.c[-1][c[new]]),
+                   low32(self.hashes[0][self.follower[mine]]).tobytes(), narrow(counts[mine]), squeezed(quantise(self.p[-1][self.suffix[mine]])))
+
+
+def top40(h: np.ndarray) -> np.ndarray:
+    return h >> U64(24)
 
 
 def low32(h: np.ndarray) -> np.ndarray:
@@ -230,7 +245,7 @@ def level_of(asks: list[tuple], mass: float) -> Level:
     trained = got > 0  # a gram of held-out documents only is not in the model
     key, first, inv = np.unique(key[trained], return_index=True, return_inverse=True)
     count = np.bincount(inv, weights=got[trained], minlength=len(key)).astype(np.int64)
-    shorter = 10.0 ** (np.concatenate([a[5] for a in asks])[trained][first] / -FINE)
+    shorter = dequantise(np.concatenate([a[5] for a in asks])[trained][first])
     at = (key >> U64(32)).astype(np.int64)
     n = np.bincount(at, minlength=len(contexts))
     return Level.build(contexts[n > 0], n[n > 0], key & U64(0xFFFFFFFF), count, (count + mass * shorter) / (of[at] + mass))
@@ -251,7 +266,7 @@ def score(documents: DataFrame, *, order: int = ORDER, block: int = BLOCK, shard
         def row(k: int, b: Packer):
             return pa.RecordBatch.from_arrays(
                 [pa.array([(part << 24) + k], pa.int64()), pa.array([b.size], pa.int64()), pa.array([b.ids], pa.list_(id_type)), pa.array([b.held], pa.list_(pa.bool_())),
-                 pa.array([narrow(np.asarray(b.lengths, np.int64))], pa.binary()), pa.array([squeezed(np.concatenate(b.parts))], pa.binary()), pa.array([_hash(b.number).tobytes()], pa.binary())],
+                 pa.array([narrow(np.asarray(b.lengths, np.int64))], pa.binary()), pa.array([squeezed(np.concatenate(b.parts).astype("<u4"))], pa.binary()), pa.array([_hash(b.number).tobytes()], pa.binary())],
                 names=["block", "size", "ids", "held", "lengths", "stream", "hashes"])
 
         for batch in batches:
@@ -265,7 +280,8 @@ def score(documents: DataFrame, *, order: int = ORDER, block: int = BLOCK, shard
             yield row(k, b)
 
     docs = documents.select("doc_id", held_out().alias("held"), F.col(text_col).cast("binary").alias("t"))
-    blocks = cut(docs.mapInArrow(packed, f"block bigint, size bigint, ids array<{kind}>, held array<boolean>, lengths binary, stream binary, hashes binary"))
+    made = docs.mapInArrow(packed, f"block bigint, size bigint, ids array<{kind}>, held array<boolean>, lengths binary, stream binary, hashes binary")
+    blocks = stored(made, "block", min(50_000, max(8, 2 * docs.rdd.getNumPartitions())))
     if shards is None:
         shards = max(SHARDS, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // block))
     marks = _hash(start(k) for k in range(1, order))
@@ -286,10 +302,10 @@ def score(documents: DataFrame, *, order: int = ORDER, block: int = BLOCK, shard
                 counts, tokens, types = serve_words([(np.frombuffer(w, np.uint64), wide(c)) for w, c in zip(raw[0], raw[4])], marks)
                 codes = [b""] * k
             else:
-                asks = [(np.frombuffer(a, np.uint64), wide(b), wide(c), np.frombuffer(d, "<u4"), wide(e), np.frombuffer(f, "<u2")) for a, b, c, d, e, f in zip(*raw)]
+                asks = [(np.cumsum(unsqueezed(a), dtype=np.uint64), wide(b), wide(c), np.frombuffer(d, "<u4"), wide(e), unsqueezed(f)) for a, b, c, d, e, f in zip(*raw)]
                 built = level_of(asks, MASS[level])
                 places = [built.find(a[0], a[1], a[3]) for a in asks]
-                codes = [built.code(at).tobytes() for at in places]
+                codes = [squeezed(built.code(at)) for at in places]
                 counts = [narrow(counts_at(built.totals, at)) if level < order else b"" for at in places]
             return pa.table({"block": t.column("block"), "level": t.column("level"), "shard": t.column("shard"), "counts": pa.array(counts, pa.binary()), "codes": pa.array(codes, pa.binary()),
                              "tokens": pa.array([tokens] + [0] * (k - 1), pa.int64()), "types": pa.array([types] + [0] * (k - 1), pa.int64())})

@@ -326,6 +326,8 @@ def brute_lm(order):
         if len(g) == 1:
             return (count[g] + 1) / (n + v + 1)
         m = lm.MASS[len(g)]
+        if count[g[:-1]] < lm.LEAST[len(g)]:
+            return p(g[1:])
         x = (count[g] + m * p(g[1:])) / (count[g[:-1]] + m)
         return float(dequantise(quantise(np.asarray([x])))[0]) if count[g] else x
 
