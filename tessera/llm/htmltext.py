@@ -13,7 +13,13 @@ decoding picks the blocks of the article.
 Character references are decoded, white space in a block becomes one blank,
 blocks are trimmed and joined by one blank in page order.
 
-Defined cases: null or empty html gives empty text; unclosed elements and pages
+What a page shows counts: text of formulas and drawings and text that is only
+hidden from screen readers is read; elements with the attribute ``hidden`` or
+the style ``display: none``, the parts of forms and what stands in for scripts
+and objects are not.
+
+Defined cases: null or empty html gives empty text; texts, pages and nesting of
+any size are read whole; unclosed elements and pages
 that break off are read as far as they go; a page without any article block
 gives empty text; repeated rows each give a row; extra columns are ignored.
 """
@@ -32,17 +38,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm.crf import ChainCRF
 
-DIM, N_TRAINING_PAGES = 1 << 13, 260
+DIM, N_TRAINING_PAGES = 1 << 13, 300
 OTHER, MAIN = 0, 1
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del".split())
-UNSEEN = frozenset("script style noscript template svg math iframe object canvas head title textarea select datalist".split())
+INLINE = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup mstyle semantics tspan a abbr acronym b bdi bdo big cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del".split())
+UNSEEN = frozenset("script style noscript template iframe object canvas head title textarea select datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title"))
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)", re.I)
+_UNSHOWN = re.compile(r"(?:^|\s)style\s*=\s*(?:\"[^\"]*?|'[^']*?)display\s*:\s*none", re.I)
 
 
 class Block:
@@ -60,6 +68,12 @@ def _marks(attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
+@lru_cache(maxsize=4096)
+def _dark(attrs: str) -> bool:
+    """Whether the attribute ``hidden`` or the style says that nothing is shown; a class of that name says nothing."""
+    return bool(_HIDDEN.search(_QUOTED.sub("''", attrs)) or _UNSHOWN.search(attrs))
+
+
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page with text, in order."""
     out: list[Block] = []
@@ -131,7 +145,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
             close(len(stack) - 1)
-        dark = name in UNSEEN or bool(attrs and _HIDDEN.search(attrs))
+        dark = name in UNSEEN or bool(attrs) and _dark(attrs)
         unseen += dark
         places.setdefault(name, []).append(len(stack))
         if name not in INLINE:
@@ -257,7 +271,7 @@ def labelled_pages(n: int = N_TRAINING_PAGES, seed: int = 11) -> list[str]:
         # an article's opening paragraph may never be closed
         inner = inner.replace("<p>", "<p><b>", 1) if r.random() < 0.2 else inner
         o, c = r.choice([("<article>", "</article>")] * 5 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main">', "</div>"), ('<div class="post">', "</div>"),
-                         ('<div class="article-body">', "</div>"), ('<section class="entry-content">', "</section>"), ('<div itemprop="articleBody">', "</div>"), ('<div id="story">', "</div>"), ("<div>", "</div>"), ('<div id="page"><div class="text">', "</div></div>")])
+                         ('<div class="article-body">', "</div>"), ('<section class="entry-content">', "</section>"), ('<div itemprop="articleBody">', "</div>"), ('<div id="story">', "</div>"), ("<div>", "</div>"), ("", ""), ("", ""), ("<center><font>", "</font></center>"), ("<table><tr><td>", "</td></tr></table>"), ('<div id="page"><div class="text">', "</div></div>")])
         inner += comments() if r.random() < 0.08 else ""
         mid = o + inner + c
         mid = side() + mid if r.random() < 0.2 else mid

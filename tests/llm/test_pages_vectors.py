@@ -68,6 +68,27 @@ def test_main_text(spark):
     assert htmltext.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+#: Pages written by hand, unlike those that the field is trained on, with the text that a reader would call the article.
+GOLD = [
+    ("<body><p>The harbour froze over on Tuesday night, and boats stayed where they lay.</p><p>By noon people walked across it.</p><aside>Read also: winter tyres</aside></body>",
+     "The harbour froze over on Tuesday night, and boats stayed where they lay. By noon people walked across it."),
+    ('<html><body><div id="top"><a href="/">Daily Lamp</a></div><nav><a href="/n">News</a> <a href="/s">Sport</a></nav><main><h1>A bridge reopens</h1><p class="lead hidden-xs">After two years of work the old bridge carries traffic again.</p>'
+     '<p class="x hidden y">The mayor cut a ribbon before some hundred onlookers.</p></main><footer>Imprint</footer></body></html>',
+     "A bridge reopens After two years of work the old bridge carries traffic again. The mayor cut a ribbon before some hundred onlookers."),
+    ("<body><article><h2>Energy</h2><p>Mass and energy are related by <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> in this theory.</p>"
+     "<p>A <span aria-hidden=true>decorated</span> word stays in the sentence.</p><p hidden>Draft only.</p><p style='display:none'>Nor this one.</p></article></body>",
+     "Energy Mass and energy are related by E=mc2 in this theory. A decorated word stays in the sentence."),
+    ('<body><header><h1>Blog of a gardener</h1></header><article><h2>Pruning roses</h2><p>Cut just above an outward bud, at a slant.</p><ul><li>Use clean shears.</li><li>Burn what is diseased.</li></ul></article>'
+     '<section id="comments"><h3>2 comments</h3><div class="comment"><p>Thanks, very useful.</p></div></section><footer><p>&copy; 2020</p></footer></body>',
+     "Pruning roses Cut just above an outward bud, at a slant. Use clean shears. Burn what is diseased."),
+]
+
+
+@pytest.mark.parametrize("page, want", GOLD)
+def test_main_text_of_pages_written_by_hand(page, want):
+    assert htmltext.main_text(page) == want
+
+
 def test_crf_on_labelled_pages_it_was_not_trained_on():
     wrong = total = 0
     for page in htmltext.labelled_pages(60, seed=77):
