@@ -57,8 +57,8 @@ from pyspark.sql import functions as F
 from tessera.llm.eliasfano import Level, Words, counts_at, dequantise, quantise
 from tessera.session import cut, shared_folder
 
-BLOCK, SHARDS, HOT, ORDER = 2_500_000, 8, 4096, 3
-MASS, LEAST = (0.0, 0.0, 60.0, 4.0), (0, 0, 1, 2)  # by the number of words in a gram
+BLOCK, SHARDS, HOT, ORDER = 2_500_000, 8, 4096, 2
+MASS, LEAST = (0.0, 0.0, 12.0, 4.0), (0, 0, 1, 2)  # by the number of words in a gram
 END = b"\n"  # no word holds white space, and neither do the marks before a document hold anything else
 U64 = np.uint64
 
