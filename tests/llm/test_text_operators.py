@@ -385,11 +385,46 @@ def test_license_base_equals_brute_force(docs):
     assert all(0 <= r["score"] <= 1 and set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) for r in got)
 
 
-@pytest.mark.parametrize("text,labels", [("all rights reserved all rights reserved", "reserved"), ("small rights reserved", ""), ("CC-BY", "cc-by"), ("mit license", ""), ("Released under the MIT License.", "mit"), ("license mit the under released", "")])
+@pytest.mark.parametrize("text,labels", [
+    ("all rights reserved all rights reserved", "reserved"), ("small rights reserved", ""), ("CC-BY", "cc-by"), ("\u212ACC BY \u0130CC BY, cc by\u212A", ""), ("..cc\t\n by..", "cc-by"), ("mit license", ""), ("Released under the MIT License.", "mit"), ("license mit the under released", ""),
+    ("/* This script is free software: you may redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. */", "gpl,gpl-3.0")])
 def test_license_labels(spark, text, labels):
     assert license.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()["labels"] == labels
 
 
+def brute_labels(texts):
+    """The method over plain lists: labels of each text."""
+    df = Counter(x for t in texts for x in set(words(t)))
+    out = []
+    for text in texts:
+        w, found = words(text), set()
+        where = {}
+        for i, x in enumerate(w):
+            where.setdefault(x, []).append(i)
+        for label, t, keys in license.TEMPLATES:
+            tw = words(t)
+            top = sorted(set(tw), key=lambda x: (df[x], x))[: license.RARE]
+            best = Counter((i - j) for x in top for i, j in {(i - j, 0) for j, y in enumerate(tw) if y == x for i in where.get(x, ())})
+            good = max(best.values(), default=0) >= license.MIN_SHARE * len(top)
+            if good and all(f" {k} " in f" {' '.join(w)} " for k in keys):
+                found.add(label)
+        out.append(",".join(sorted(found | ({x for x in brute_license(text)[4].split(",")} - {""}))))
+    return out
+
+
+def test_license_method_equals_brute_force(spark):
+    rng = np.random.default_rng(12)
+    notices = [t for _, t, _ in license.TEMPLATES]
+    texts = [None, "", *notices, *(f"{BASE} {a}. {b}" for a, b in zip(notices, notices[3:]))]
+    for t in notices * 3:  # some words are left out or exchanged
+        w = t.split()
+        for k in rng.choice(len(w), max(1, len(w) // 8), replace=False):
+            w[k] = rng.choice(["", "other", "the"])
+        texts.append(" ".join([BASE, *w, BASE]))
+    got = license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["labels"] for r in got} == dict(enumerate(brute_labels(texts)))
+
+
 SPEECH = {"en": "the of and to in that was he for it with as his on be at by had not are but from or have they which one you were her all she there would their".split(),
           "fr": "le de un être et à il avoir ne je son que se qui ce dans en du elle au pour pas vous par sur faire plus dire me on mon lui nous comme".split(),
           "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei".split()}
