@@ -66,16 +66,14 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 RARE, MIN_SHARE = 12, 0.6
 
 
-def normalised(text: Column) -> Column:
-    """Words with one blank between them.
+def lowered(text: Column) -> Column:
+    """Lower case beyond ASCII as well, which is several times faster and changes no word's place: the one letter there that would become one of A-Z, the Kelvin sign, is exchanged before."""
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212A"), F.lit("\u00B5")))
+
 
-    Lower case beyond ASCII as well, which is several times faster and changes
-    no word's place: the one letter there that would become one of A-Z, the
-    Kelvin sign, is exchanged before.  Only runs that are not one blank already
-    are replaced.
-    """
-    low = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212A"), F.lit("\u00B5")))
-    return F.trim(F.regexp_replace(low, f"{ODD}{SEPARATORS[:-1]}*|\\x20{SEPARATORS}", " "))
+def normalised(text: Column) -> Column:
+    """Words with one blank between them; only runs that are not one blank already are replaced."""
+    return F.trim(F.regexp_replace(lowered(text), f"{ODD}{SEPARATORS[:-1]}*|\\x20{SEPARATORS}", " "))
 
 
 def n_blanks(s: Column) -> Column:
@@ -129,7 +127,7 @@ def agreement(template: Column, hits: Column) -> Column:
 def scan(documents: DataFrame, *, phrases: dict[str, str] = PHRASES, templates=TEMPLATES, rare: int = RARE, min_share: float = MIN_SHARE, text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row."""
     out = documents.select("doc_id", normalised(F.col(text_col)).alias("s"))
-    df = document_counts(out.select(F.split("s", " ").alias("w")), sorted({x for _, text, _ in templates for x in plain(text)}))
+    df = document_counts(documents.select(F.split(lowered(F.col(text_col)), SEPARATORS).alias("w")), sorted({x for _, text, _ in templates for x in plain(text)}))
     index = index_of(templates, df, rare)
     ranked = sorted({x for _, top, _, _ in index for x in top}, key=lambda x: (df.get(x, 0), x))
     fewest = min((len(top) for _, top, _, _ in index), default=0) * min_share
