@@ -10,14 +10,16 @@ of what one global packing would have, 1 in thousands.
 A group is a histogram of lengths.  Best-fit decreasing gives the incumbent.
 Where it uses more bins than a lower bound asks for, branch and bound takes
 over: the largest length left is put in a bin, the bin's undominated
-completions (none of their lengths can be exchanged for a larger one that is
-left and still fits) are tried by waste, each as often as its lengths are left,
-and a branch is cut when the waste so far rules out a better packing than the
-incumbent.  The search is bounded: 6 completions a bin, found in 240 steps, and
-``nodes`` fillings besides one for each distinct length.
-
-Defined cases: null text counts as empty, one end id; repeated rows are packed
-each; an empty table gives no rows; extra columns are ignored.
+completions (no lengths of them can be exchanged for one that is left, fills
+more and still fits) are tried by waste, each as often as its lengths are left
+and once, and a branch is cut when the waste so far rules out a better packing
+than the incumbent.  The completions are all enumerated, one at a time; what
+bounds the search is ``nodes``, the fillings taken besides one for each distinct
+length.  Where it runs out, the incumbent stands: the gap is the bins it has
+over ``least_bins``.
+
+Defined cases: null text counts as empty, one end id; texts of any length are
+read whole; repeated rows are packed each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,50 +85,69 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def completions(first: int, kinds: list[int], left: Counter, size: int, most: int = 24) -> list[list[int]]:
-    """Undominated fillings of a bin around ``first``, least waste first.
+def completions(first: int, kinds: list[int], left: Counter, size: int, most_waste: int):
+    """All undominated fillings of a bin around ``first``, least waste first, one at a time.
 
-    kinds: the distinct lengths left, rising.  Depth-first from the largest
-    that fits; a filling that could still take a length, or whose length could
-    be exchanged for a larger one that fits, is dominated.
+    kinds: the distinct lengths left, rising.  ``reach[i]`` has a bit for every
+    sum that lengths up to ``kinds[i]`` can make, so a filling of a given sum is
+    found without a dead end, and every one of them is.  A filling is dominated
+    if some of its lengths together (one: by a longer one; several: by one as
+    long or longer) can be exchanged for one length that is left and still fits.
     """
-    found: list[tuple[int, list[int]]] = []
-    tried = 0
-
-    def grow(room: int, upto: int, chosen: list[int]) -> None:
-        nonlocal tried
-        tried += 1
-        if tried > 40 * most or len(found) >= most and found[-1][0] == 0:
+    room = size - first
+    inside = (1 << (room + 1)) - 1
+    free = {x: left[x] - (x == first) for x in kinds if x <= room and left[x] > (x == first)}
+    have = list(free)
+    reach, sums = [], 1
+    for x in have:
+        n, step = min(free[x], room // x), 1
+        while n > 0:  # n times x as steps of 1, 2, 4, ...
+            k = min(step, n)
+            sums |= sums << (k * x)
+            n, step = n - k, 2 * step
+        sums &= inside
+        reach.append(sums)
+
+    def spell(total: int, upto: int):
+        """Fillings of exactly ``total``, the longest lengths first."""
+        if total == 0:
+            yield []
             return
-        i = bisect_right(kinds, min(room, upto)) - 1
-        used, any_fit = Counter(chosen), False
-        seen = 0
-        while i >= 0 and seen < 4:
-            x = kinds[i]
-            if left[x] - used[x] - (x == first) > 0:
-                any_fit = True
-                seen += 1
-                grow(room - x, x, [*chosen, x])
-            i -= 1
-        if not any_fit:
-            found.append((room, chosen))
-
-    grow(size - first, size, [])
-
-    def dominated(waste: int, chosen: list[int]) -> bool:
-        used = Counter(chosen)
-        for x in used:
-            j = bisect_right(kinds, x + waste) - 1
-            while j >= 0 and kinds[j] > x:
-                y = kinds[j]
-                if left[y] - used[y] - (y == first) > 0:
-                    return True
-                j -= 1
-        return False
-
-    found.sort(key=lambda f: (f[0], len(f[1])))
-    kept = [c for w, c in found if not dominated(w, c)] or [c for _, c in found[:1]]
-    return kept[:most]
+        for i in range(upto, -1, -1):
+            if not reach[i] >> total & 1:
+                return
+            x = have[i]
+            for k in range(min(free[x], total // x), 0, -1):
+                rest = total - k * x
+                if rest == 0 or i and reach[i - 1] >> rest & 1:
+                    for more in spell(rest, i - 1):
+                        yield [x] * k + more
+
+    every = sum(1 << x for x in have)
+    for waste in range(min(room, most_waste) + 1):
+        if have and reach[-1] >> (room - waste) & 1 or waste == room:
+            for chosen in spell(room - waste, len(have) - 1):
+                used = Counter(chosen)
+                outside = every & ~sum(1 << x for x, n in used.items() if n == free[x])
+                # parts: sums of some of the lengths; single ones must gain at least 1
+                parts, several = 1, 0
+                for x in chosen:
+                    several |= (several << x) | ((parts & ~1) << x)
+                    parts |= parts << x
+                singles = sum(1 << x for x in used)
+                fits = outside & ((1 << (waste + 1)) - 1)  # could still be added
+                if not (fits or several & _below(outside, waste) or waste and singles & _below(outside >> 1, waste - 1)):
+                    yield chosen
+
+
+def _below(bits: int, reach: int) -> int:
+    """The bits that lie at most ``reach`` below one of ``bits``, or at it."""
+    done = 0
+    while done < reach:
+        step = min(done + 1, reach - done)
+        bits |= bits >> step
+        done += step
+    return bits
 
 
 def least_bins(lengths: list[int], size: int) -> int:
@@ -178,7 +199,7 @@ def complete(rest: list[int], incumbent: list[list[int]], size: int, nodes: int)
     kinds = sorted(left)
     nodes += len(kinds)
     done: list[tuple[list[int], int]] = []
-    stack: list[list[tuple[list[int], int]]] = []  # each level holds the fillings not yet tried
+    stack: list = []  # each level spells out the fillings not yet tried
     waste = 0
     goal = len(best) - 1  # a packing must have so many bins at most to be better
 
@@ -191,11 +212,14 @@ def complete(rest: list[int], incumbent: list[list[int]], size: int, nodes: int)
             elif before == 0:
                 insort(kinds, x)
 
-    def choices() -> list[tuple[list[int], int]]:
+    def choices():
         first = kinds[-1]
-        fillings = [[first, *c] for c in completions(first, kinds, left, size, 6)]
-        times = [min(left[x] // k for x, k in Counter(f).items()) for f in fillings]
-        return [*zip(fillings, times), *((f, 1) for f, m in zip(fillings, times) if m > 1)][::-1]
+        for c in completions(first, kinds, left, size, goal * size - total - waste):
+            f = [first, *c]
+            times = min(left[x] // k for x, k in Counter(f).items())
+            yield f, times
+            if times > 1:
+                yield f, 1
 
     descend = True
     while spent < nodes:
@@ -212,13 +236,14 @@ def complete(rest: list[int], incumbent: list[list[int]], size: int, nodes: int)
             old, times = done.pop()
             take(old, -times)
             waste -= times * (size - sum(old))
-        if not stack[-1]:
+        choice = next(stack[-1], None)
+        if choice is None:
             stack.pop()
             descend = False
             if not stack:
                 break
             continue
-        filling, times = stack[-1].pop()
+        filling, times = choice
         spent += 1
         take(filling, times)
         done.append((filling, times))

@@ -251,6 +251,26 @@ def test_bin_completion_beats_best_fit_and_meets_the_optimum():
     assert better > 0
 
 
+def test_completions_are_all_undominated_fillings():
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        size, x = 40, sorted(rng.integers(3, 30, 8).tolist())
+        first, rest = x[-1], x[:-1]
+        subsets = {tuple(sorted(c)) for k in range(len(rest) + 1) for c in combinations(rest, k) if sum(c) <= size - first}
+
+        def dominated(c):
+            out = Counter(rest) - Counter(c)
+            room = size - first - sum(c)
+            return any((sum(p) < y or len(p) > 1 and sum(p) == y) and y <= sum(p) + room for k in range(len(c) + 1) for p in combinations(c, k) for y in out)
+
+        want = {c for c in subsets if not dominated(c)}
+        got = [tuple(sorted(c)) for c in packing.completions(first, sorted(set(x)), Counter(x), size, size)]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert [sum(c) for c in got] == sorted((sum(c) for c in got), reverse=True)
+
+
 def test_bin_completion_takes_all_bins_of_a_large_group():
     x = [1034] * 600 + [532] * 600 + [522] * 600 + [492] * 1200
     got = packing.pack_lengths(x)
