@@ -13,9 +13,9 @@ over: the largest length left is put in a bin, the bin's undominated
 completions (no lengths of them can be exchanged for one that is left, fills
 more and still fits) are tried by waste, each as often as its lengths are left
 and once, and a branch is cut when the waste so far rules out a better packing
-than the incumbent.  The completions are all enumerated, one at a time; what
-bounds the search is ``nodes``, the fillings taken besides one for each distinct
-length.  Where it runs out, the incumbent stands: the gap is the bins it has
+than the incumbent.  The completions are enumerated one at a time, with no bound
+of their own; what bounds the search is ``nodes``, the fillings taken besides
+one for each distinct length, and ``WORK``, the fillings looked at in a group.  Where it runs out, the incumbent stands: the gap is the bins it has
 over ``least_bins``.
 
 Defined cases: null text counts as empty, one end id; texts of any length are
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tessera.llm.tokens import run_ids
 from tessera.session import cut
 
-SEQUENCE, GROUP, NODES, OPEN_BINS = 2048, 16384, 600, 48
+SEQUENCE, GROUP, NODES, OPEN_BINS, WORK = 2048, 16384, 600, 48, 150_000
 
 def pieces(documents: DataFrame, tokenizer: str, *, size: int = SEQUENCE, text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces."""
@@ -85,7 +85,7 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def completions(first: int, kinds: list[int], left: Counter, size: int, most_waste: int):
+def completions(first: int, kinds: list[int], left: Counter, size: int, most_waste: int, work: list[int] | None = None):
     """All undominated fillings of a bin around ``first``, least waste first, one at a time.
 
     kinds: the distinct lengths left, rising.  ``reach[i]`` has a bit for every
@@ -93,7 +93,10 @@ def completions(first: int, kinds: list[int], left: Counter, size: int, most_was
     found without a dead end, and every one of them is.  A filling is dominated
     if some of its lengths together (one: by a longer one; several: by one as
     long or longer) can be exchanged for one length that is left and still fits.
+    ``work`` holds what may still be spent (a filling looked at: 1 and more);
+    where it is used up, the enumeration ends.
     """
+    work = [1 << 60] if work is None else work
     room = size - first
     inside = (1 << (room + 1)) - 1
     free = {x: left[x] - (x == first) for x in kinds if x <= room and left[x] > (x == first)}
@@ -123,10 +126,14 @@ def completions(first: int, kinds: list[int], left: Counter, size: int, most_was
                     for more in spell(rest, i - 1):
                         yield [x] * k + more
 
+    work[0] -= len(have) >> 6
     every = sum(1 << x for x in have)
     for waste in range(min(room, most_waste) + 1):
         if have and reach[-1] >> (room - waste) & 1 or waste == room:
             for chosen in spell(room - waste, len(have) - 1):
+                work[0] -= 1 + (len(chosen) >> 3)
+                if work[0] < 0:
+                    return
                 used = Counter(chosen)
                 outside = every & ~sum(1 << x for x, n in used.items() if n == free[x])
                 # parts: sums of some of the lengths; single ones must gain at least 1
@@ -166,26 +173,27 @@ def least_bins(lengths: list[int], size: int) -> int:
 def pack_lengths(lengths: list[int], size: int = SEQUENCE, nodes: int = NODES) -> list[list[int]]:
     """Bins of lengths, as few as found: best-fit decreasing, then bin completion while that can still help.
 
-    First the ``OPEN_BINS`` bins with most waste are packed anew, which is
-    quick and enough where one bin is to be saved.  Where that saves none and
-    the lower bound is not met, all bins are taken together.
+    Where one bin is to be saved, the ``OPEN_BINS`` bins with most waste are
+    packed anew, which is quick.  Where more are, or that saves none, all bins
+    are taken together.  ``WORK`` bounds what one call spends in all.
     """
     full = [[x] for x in lengths if x >= size]
     rest = [x for x in lengths if x < size]
-    best, bound = best_fit(rest, size), least_bins(rest, size)
-    while len(best) > bound:
-        best.sort(key=lambda b: sum(b))
-        few = best[:OPEN_BINS]
-        better = complete([x for b in few for x in b], few, size, nodes) + best[OPEN_BINS:]
-        if len(better) == len(best) > OPEN_BINS:
-            better = complete(rest, best, size, nodes)
-        if len(better) == len(best):
+    best, bound, work = best_fit(rest, size), least_bins(rest, size), [WORK]
+    few = len(best) == bound + 1
+    while len(best) > bound and work[0] > 0:
+        best.sort(key=sum)
+        cut_at = OPEN_BINS if few else len(best)
+        some = best[:cut_at]
+        better = complete([x for b in some for x in b], some, size, nodes, work) + best[cut_at:]
+        if len(better) == len(best) and (not few or len(best) <= OPEN_BINS):
             break
+        few = len(better) < len(best) and len(better) == bound + 1
         best = better
     return full + best
 
 
-def complete(rest: list[int], incumbent: list[list[int]], size: int, nodes: int) -> list[list[int]]:
+def complete(rest: list[int], incumbent: list[list[int]], size: int, nodes: int, work: list[int]) -> list[list[int]]:
     """Branch and bound over bins; ``incumbent`` if no packing of fewer bins is found.
 
     A filling is taken as often as its lengths are left, which uses up one of
@@ -214,7 +222,7 @@ def complete(rest: list[int], incumbent: list[list[int]], size: int, nodes: int)
 
     def choices():
         first = kinds[-1]
-        for c in completions(first, kinds, left, size, goal * size - total - waste):
+        for c in completions(first, kinds, left, size, goal * size - total - waste, work):
             f = [first, *c]
             times = min(left[x] // k for x, k in Counter(f).items())
             yield f, times
@@ -222,7 +230,7 @@ def complete(rest: list[int], incumbent: list[list[int]], size: int, nodes: int)
                 yield f, 1
 
     descend = True
-    while spent < nodes:
+    while spent < nodes and work[0] > 0:
         if descend:
             if not kinds:
                 best = [list(f) for f, m in done for _ in range(m)]
