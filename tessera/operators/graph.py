@@ -39,7 +39,7 @@ def walk_edges(edges: DataFrame, start: DataFrame, depth: int, *, direction: str
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError("depth is 1 to 8")
-    e = edges.select("src", "dst", "id")
+    e = cut(edges.select("src", "dst", "id"))  # read once for all levels
     e = e if direction == "out" else e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "id") if direction == "in" else both_ways(e)
     front = start.select("node").distinct()
     seen, out = front, None
@@ -58,6 +58,7 @@ def bfs(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(node, depth, parent): shortest distance, and the smallest parent on a shortest way."""
     front = start.select("node", F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent"))
     seen = front
+    edges = cut(edges.select("src", "dst"))
     for d in range(1, depth + 1):
         step = edges.join(front.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         front = cut(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth"), "parent"))
@@ -80,36 +81,40 @@ def best_parallel(edges: DataFrame) -> DataFrame:
 
 
 def impact_steps(edges: DataFrame) -> DataFrame:
-    """(at, to, ...): how a change moves: to an edge's source, and for providers to its target too."""
+    """(at, to, ..., forward): how a change moves: to an edge's source, and for providers to its target too."""
     e = edges.where(F.col("kind").isin(list(INCOMING)))
-    back = e.select(F.col("dst").alias("at"), F.col("src").alias("to"), "kind", "ev", "res", "id")
-    return back.unionByName(e.where(F.col("kind").isin(list(PROVIDER))).select(F.col("src").alias("at"), F.col("dst").alias("to"), "kind", "ev", "res", "id"))
+    back = e.select(F.col("dst").alias("at"), F.col("src").alias("to"), "kind", "ev", "res", "id", F.lit(False).alias("forward"))
+    return back.unionByName(e.where(F.col("kind").isin(list(PROVIDER))).select(F.col("src").alias("at"), F.col("dst").alias("to"), "kind", "ev", "res", "id", F.lit(True).alias("forward")))
 
 
-def impact(edges: DataFrame, start: DataFrame, depth: int = 4, *, terminal_kinds: tuple[str, ...] = ("tests",)) -> DataFrame:
+def impact(edges: DataFrame, start: DataFrame, depth: int = 4, *, terminal_kinds: tuple[str, ...] = ("tests", "documents", "decides"), terminal: DataFrame | None = None) -> DataFrame:
     """(node, weakest, flagged, hops, max_res, via): what a change reaches, by its best path, and what carries it.
 
-    Paths compare by (weakest evidence, flagged hops, hops, edge ids); what is
-    reached by a terminal kind (a test) is not gone on from.
+    Paths compare by (weakest evidence, flagged hops, hops, edge ids).  A change
+    that came to something by its provider goes on to those who use it, not to
+    its other providers.  Tests, documents and decisions are not gone on from:
+    what a terminal kind of edge comes from, and the nodes of ``terminal`` (node).
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError("depth is 1 to 8")
-    steps = impact_steps(edges)
+    steps = cut(impact_steps(edges))  # the edges are read once for all rounds
     kind = edges.schema["id"].dataType.simpleString()
-    best = start.select("node", F.lit(0).alias("weakest"), F.lit(0).alias("flagged"), F.lit(0).alias("hops"), F.lit(0).alias("max_res"), F.array().cast(f"array<{kind}>").alias("via"), F.lit(False).alias("ends"))
+    best = start.select("node", F.lit(0).alias("weakest"), F.lit(0).alias("flagged"), F.lit(0).alias("hops"), F.lit(0).alias("max_res"), F.array().cast(f"array<{kind}>").alias("via"), F.lit(False).alias("provided"), F.lit(False).alias("ends"))
     front = best
     for _ in range(depth):
-        s = steps.join(front.where("NOT ends"), steps["at"] == front["node"])
+        s = steps.join(front.where("NOT ends"), steps["at"] == front["node"]).where(~(F.col("provided") & ~F.col("forward") & F.col("kind").isin(list(PROVIDER))))
         n = s.select(F.col("to").alias("node"), F.greatest("weakest", "ev").alias("weakest"), (F.col("flagged") + ((F.col("ev") >= 3) | (F.col("res") > 0)).cast("int")).alias("flagged"), (F.col("hops") + 1).alias("hops"),
-                     F.greatest("max_res", "res").alias("max_res"), F.concat("via", F.array("id")).alias("via"), F.col("kind").isin(list(terminal_kinds)).alias("ends"))
+                     F.greatest("max_res", "res").alias("max_res"), F.concat("via", F.array("id")).alias("via"), F.col("forward").alias("provided"), (F.col("kind").isin(list(terminal_kinds)) & ~F.col("forward")).alias("ends"))
         key = F.struct("weakest", "flagged", "hops", "via")
         n = n.groupBy("node").agg(F.min_by(F.struct(*[c for c in n.columns if c != "node"]), key).alias("b")).select("node", "b.*")
+        if terminal is not None:
+            n = n.join(terminal.select("node", F.lit(True).alias("_end")).distinct(), "node", "left").withColumn("ends", F.col("ends") | F.coalesce("_end", F.lit(False))).drop("_end")
         both = best.withColumn("_old", F.lit(1)).unionByName(n.withColumn("_old", F.lit(0)))
         new = cut(both.groupBy("node").agg(F.min_by(F.struct(*[c for c in both.columns if c != "node"]), F.struct("weakest", "flagged", "hops", "via", F.col("_old") * -1)).alias("b")).select("node", "b.*"))
         front, best = new.where("_old = 0").drop("_old"), new.drop("_old")
         if front.isEmpty():
             break
-    return best.where("hops > 0").drop("ends")
+    return best.where("hops > 0").drop("ends", "provided")
 
 
 def risk() -> Column:

@@ -112,7 +112,8 @@ def knn(vectors: DataFrame, query: list[float], k: int, *, id_col: str = "vec_id
     """(id, distance): exact cosine distance, ties by id; vectors without a direction are left out."""
     q = F.array(*[F.lit(float(x)) for x in query])
     d = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where(F.col("v").isNotNull()).where(dot(F.col("v"), F.col("v")) > 0)
-    return d.select("id", F.round(1 - cosine(F.col("v"), q), 6).alias("distance")).orderBy("distance", "id").limit(k)
+    near = d.select("id", (1 - cosine(F.col("v"), q)).alias("distance")).orderBy("distance", "id").limit(k)
+    return near.select("id", F.round("distance", 6).alias("distance"))
 
 
 def rrf(lists: DataFrame, weights: dict[str, float], *, k: int = 60, by: tuple[str, ...] = (), id_col: str = "id") -> DataFrame:

@@ -78,7 +78,7 @@ def activate_generation(spark: SparkSession, d: str) -> DataFrame:
 
 def overlay_shadow(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_brand").alias("project"), F.col("p_name").alias("path"), "p_partkey")
-    base, over = p.where("p_partkey % 7 <> 0"), p.where("p_partkey % 7 = 0 AND p_partkey < 300")
+    base, over = p.where("p_partkey % 7 <> 0"), p.where("p_partkey % 7 = 0")
     declared = p.where("p_partkey % 97 = 0")
     return V.shadow(base, over, declared).groupBy("project", "layer").agg(F.count("*").alias("n"))
 
@@ -229,10 +229,10 @@ QUERIES = {f.__name__: f for f in (
     as_of_files, files_page, snapshot_diff, rename_detect, apply_interval_changes, prune_intervals, activate_generation, overlay_shadow, co_change, merkle_root, embedding_coverage, missing_embeddings, symbol_changes,
     file_history, graph_walk, graph_walk_both, graph_bfs, fan_out_round_robin, impact_risk, impact_projects, flow_paths, insight_orphan, insight_drift, missing_locale, edge_merge, contract_parties, module_rollup)}
 
-_STEP = """x{k} AS (SELECT node, k FROM b{j} UNION ALL SELECT to_, struct_pack(weakest := greatest(k.weakest, ev), flagged := k.flagged + (ev >= 3 OR res > 0)::int, hops := k.hops + 1, via := list_append(k.via, id), max_res := greatest(k.max_res, res)) FROM b{j} JOIN st ON cur = node),
+_STEP = """x{k} AS (SELECT node, k FROM b{j} UNION ALL SELECT to_, struct_pack(weakest := greatest(k.weakest, ev), flagged := k.flagged + (ev >= 3 OR res > 0)::int, hops := k.hops + 1, via := list_append(k.via, id), max_res := greatest(k.max_res, res), provided := fwd) FROM b{j} JOIN st ON cur = node AND NOT (k.provided AND kind = 'exposes' AND NOT fwd)),
 b{k} AS (SELECT node, min(k) AS k FROM x{k} GROUP BY node)"""
-_IMPACT = f"""WITH {_E}, st AS (SELECT dst AS cur, src AS to_, ev, res, id, kind FROM e WHERE kind <> 'tests' UNION ALL SELECT src, dst, ev, res, id, kind FROM e WHERE kind = 'exposes'),
-b0 AS (SELECT 's3' AS node, struct_pack(weakest := 0, flagged := 0, hops := 0, via := []::varchar[], max_res := 0) AS k), {", ".join(_STEP.format(k=k, j=k - 1) for k in (1, 2, 3))},
+_IMPACT = f"""WITH {_E}, st AS (SELECT dst AS cur, src AS to_, ev, res, id, kind, false AS fwd FROM e WHERE kind <> 'tests' UNION ALL SELECT src, dst, ev, res, id, kind, true FROM e WHERE kind = 'exposes'),
+b0 AS (SELECT 's3' AS node, struct_pack(weakest := 0, flagged := 0, hops := 0, via := []::varchar[], max_res := 0, provided := false) AS k), {", ".join(_STEP.format(k=k, j=k - 1) for k in (1, 2, 3))},
 i AS (SELECT node, k.weakest AS weakest, k.flagged AS flagged, k.hops AS hops, CASE WHEN k.max_res = 2 THEN 'unknown' WHEN k.max_res = 1 OR k.weakest >= 3 THEN 'low' WHEN k.weakest = 2 OR k.hops > 2 THEN 'medium' ELSE 'high' END AS risk FROM b3 WHERE k.hops > 0)"""
 
 SQL = {
@@ -245,8 +245,8 @@ t AS (SELECT view_id, path, valid_from, CASE WHEN valid_to IS NULL AND EXISTS (S
 SELECT view_id, count(*) AS n, sum((valid_to IS NULL)::int)::bigint AS n_open, sum((valid_to = 1200)::int)::bigint AS n_closed FROM t GROUP BY 1""",
     "prune_intervals": f"WITH {_V} SELECT view_id, count(*) AS n, min(valid_to) AS first_end FROM v WHERE valid_to IS NULL OR valid_to > least(view_id * 100 + 500, 1400, CASE WHEN view_id % 2 = 0 THEN 700 ELSE 9999 END) GROUP BY 1",
     "activate_generation": "SELECT 'v' || n_regionkey AS view_id, n_nationkey::bigint AS generation, CASE WHEN n_regionkey = 1 AND n_nationkey = 21 THEN 'active' WHEN n_regionkey = 1 AND n_nationkey < 5 THEN 'retired' WHEN n_nationkey < 5 THEN 'active' WHEN n_nationkey < 20 THEN 'retired' ELSE 'building' END AS state FROM nation",
-    "overlay_shadow": "WITH p AS (SELECT p_brand AS project, p_name AS path, p_partkey AS k FROM part) SELECT project, 'base' AS layer, count(*) AS n FROM p WHERE k % 7 <> 0 AND (project, path) NOT IN (SELECT (project, path) FROM p WHERE (k % 7 = 0 AND k < 300) OR k % 97 = 0) GROUP BY 1 UNION ALL SELECT project, 'overlay', count(*) FROM p WHERE k % 7 = 0 AND k < 300 GROUP BY 1",
-    "co_change": "WITH c AS (SELECT DISTINCT date_trunc('hour', ts) AS h, user_id AS u FROM events), s AS (SELECT h FROM c GROUP BY 1 HAVING count(*) <= 50) SELECT x.u AS a, y.u AS b, count(*) AS n FROM c x JOIN c y ON x.h = y.h AND x.u < y.u WHERE x.h IN (SELECT h FROM s) GROUP BY 1, 2 HAVING count(*) >= 3",
+    "overlay_shadow": "WITH p AS (SELECT p_brand AS project, p_name AS path, p_partkey AS k FROM part) SELECT project, 'base' AS layer, count(*) AS n FROM p WHERE k % 7 <> 0 AND (project, path) NOT IN (SELECT (project, path) FROM p WHERE k % 7 = 0 OR k % 97 = 0) GROUP BY 1 UNION ALL SELECT project, 'overlay', count(*) FROM p WHERE k % 7 = 0 GROUP BY 1",
+    "co_change": "WITH c AS (SELECT DISTINCT date_trunc('hour', ts) AS h, user_id AS u FROM events) SELECT x.u AS a, y.u AS b, count(*) AS n FROM c x JOIN c y ON x.h = y.h AND x.u < y.u GROUP BY 1, 2 HAVING count(*) >= 3",
     "embedding_coverage": "SELECT source, count(*) AS n, count(vec_id) AS n_embedded, round(count(vec_id) / count(*), 6) AS coverage FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY 1",
     "missing_embeddings": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "symbol_changes": """WITH s0 AS (SELECT p_brand || '.' || p_name AS symbol, min(p_partkey) AS k FROM part GROUP BY 1), s AS (SELECT * FROM s0 UNION ALL SELECT regexp_replace(symbol, '\\.[^.]*$', '') AS b, max(k) FROM s0 GROUP BY 1 HAVING b <> 'Brand#1'),

@@ -247,7 +247,7 @@ SQL = {
     "source_quota": _FUSED + "SELECT s AS source, project, id AS doc_id, source_rank FROM (SELECT li.source AS s, d.source AS project, li.id, li.source_rank, row_number() OVER (PARTITION BY li.source, d.source ORDER BY li.source_rank) AS q FROM li JOIN documents d ON d.doc_id = li.id) WHERE q <= 5",
     "exact_symbol": "SELECT * FROM (SELECT p_partkey, CASE WHEN replace(p_name, ' ', '.') = 'widget' THEN 6 WHEN lower(replace(p_name, ' ', '.')) = 'widget' THEN 4 WHEN string_split(p_name, ' ')[-1] = 'widget' THEN 3 WHEN lower(string_split(p_name, ' ')[-1]) = 'widget' THEN 2 END AS strength FROM part) WHERE strength IS NOT NULL",
     "exact_path": "SELECT * FROM (SELECT page_id, CASE WHEN path = 'en/8' THEN 6 WHEN ends_with(path, '/en/8') THEN 5 END AS a, CASE WHEN path = '148.html' THEN 6 WHEN string_split(path, '/')[-1] = '148.html' THEN 3 END AS b FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages)) WHERE a IS NOT NULL OR b IS NOT NULL",
-    "vector_knn": "SELECT vec_id, distance, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM (SELECT vec_id, round(1 - list_cosine_similarity(embedding::double[], (SELECT embedding::double[] FROM embeddings WHERE vec_id = 0)), 6) AS distance FROM embeddings ORDER BY 2, 1 LIMIT 20)",
+    "vector_knn": "SELECT vec_id, round(d, 6) AS distance, row_number() OVER (ORDER BY round(d, 6), vec_id) AS rank FROM (SELECT vec_id, 1 - list_cosine_similarity(embedding::double[], (SELECT embedding::double[] FROM embeddings WHERE vec_id = 0)) AS d FROM embeddings ORDER BY 2, 1 LIMIT 20)",
     "vector_by_profile": "WITH q AS (SELECT label, min_by(embedding, vec_id) AS q FROM embeddings GROUP BY 1) SELECT * FROM (SELECT label, vec_id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (SELECT label, vec_id, round(list_cosine_similarity(embedding::double[], q::double[]), 6) AS score FROM embeddings JOIN q USING (label))) WHERE rank <= 5",
     "scope_admission": "SELECT reject_reason, count(*) AS count FROM (SELECT CASE WHEN source = 'src0' THEN 'unpinned_project' WHEN doc_id % 3 = 2 THEN 'generation_mismatch' WHEN lang IS NULL OR lang NOT IN ('en', 'de') THEN 'language' WHEN NOT ends_with(doc_id::varchar, '1') THEN 'path' END AS reject_reason FROM documents) WHERE reject_reason IS NOT NULL GROUP BY 1",
     "overlap_pairs": f"WITH {_LINES} SELECT a.f AS orderkey, count(*) AS n_pairs FROM r a JOIN r b ON a.f = b.f AND a.s <= b.e AND b.s <= a.e AND a.s < b.s GROUP BY 1",
