@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +92,7 @@ class Matcher:
         hits, items = [], set()
         if w and self.number:
             get = self.number.get
-            ids = tuple([get(x, 0) for x in w])
+            ids = tuple(map(get, w, repeat(0)))
             if any(ids):
                 for last, (m, who) in self.automaton.iter(ids):
                     hits.append((last - m + 1, last))
