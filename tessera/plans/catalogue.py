@@ -53,7 +53,7 @@ _INSIGHTS = "\nUNION ALL ".join(
     f"SELECT '{code}' AS code, '{sev}' AS severity FROM g WHERE ck = '{k}' AND list_has_any(ks, {list(there)}) AND NOT list_has_any(ks, {list(lacks)})" for code, (k, there, lacks, sev) in R.INSIGHTS.items())
 SQL = {
     "top_languages": "SELECT * FROM (SELECT source AS project, lang AS language, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS rank FROM documents WHERE lang IS NOT NULL AND lang <> 'text' GROUP BY 1, 2) WHERE rank <= 2",
-    "switch_estimate": "SELECT count(*) AS chunks, sum(ceil(strlen(coalesce(text, '')) / 4))::bigint AS tokens, round(sum(ceil(strlen(coalesce(text, '')) / 4)) * 0.02 / 1e6, 6) AS usd, count(*) * 1536 AS disk_bytes FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
+    "switch_estimate": "SELECT count(*) AS chunks, coalesce(sum(ceil(strlen(coalesce(text, '')) / 4)), 0)::bigint AS tokens, round(coalesce(sum(ceil(strlen(coalesce(text, '')) / 4)), 0) * 0.02 / 1e6, 6) AS usd, count(*) * 1536 AS disk_bytes FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "rank_and_limit": """WITH b AS (SELECT *, row_number() OVER (PARTITION BY project, location ORDER BY score DESC, id) AS k FROM (SELECT l_suppkey AS project, l_partkey AS location, l_orderkey || '-' || l_linenumber AS id, l_extendedprice::double AS score FROM lineitem)),
 q AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, location, id) AS q FROM b WHERE k = 1) SELECT project, location, id, score, row_number() OVER (ORDER BY score DESC, location, id) AS rank FROM q WHERE q <= 3 ORDER BY score DESC, location, id LIMIT 100""",
     "find_symbols": "WITH s AS (SELECT replace(p_name, ' ', '.') AS symbol, p_partkey AS path FROM part) SELECT * FROM (SELECT *, CASE WHEN symbol = 'widget' THEN 0 WHEN string_split(symbol, '.')[-1] = 'widget' THEN 1 WHEN ends_with(symbol, '.widget') THEN 2 END AS how FROM s) WHERE how IS NOT NULL ORDER BY how, symbol, path LIMIT 40",
