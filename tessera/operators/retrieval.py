@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import cut
 
@@ -238,18 +239,26 @@ def greedy_budget(items: DataFrame, budget: int, *, by: str, cost: str = "cost",
 
 
 def batch_split(items: DataFrame, max_items: int, max_tokens: int, *, by: str, cost: str = "cost", order: str = "rank") -> DataFrame:
-    """``items`` with a batch number: a batch ends before it would hold too many entries or tokens."""
-
-    def split(p: pd.DataFrame) -> pd.DataFrame:
-        p, batch, n, size, out = p.sort_values(order), 0, 0, 0, []
-        for c in p[cost]:
-            if n and (n >= max_items or size + c > max_tokens):
-                batch, n, size = batch + 1, 0, 0
-            n, size = n + 1, size + c
-            out.append(batch)
-        return p.assign(batch=out)
-
-    return items.groupBy(by).applyInPandas(split, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema) + ", batch bigint")
+    """``items`` with a batch number: a batch ends before it would hold too many entries or tokens.  No cost is a cost of 0.
+
+    A source's rows come sorted, batch by batch; only the open batch's size is carried from one to the next.
+    """
+
+    def split(batches):
+        key, batch, n, size = object(), 0, 0, 0
+        for b in batches:
+            out = []
+            for g, c in zip(b.column(by).to_pylist(), b.column(cost).to_pylist()):
+                c = c or 0
+                if g != key:
+                    key, batch, n, size = g, 0, 0, 0
+                if n and (n >= max_items or size + c > max_tokens):
+                    batch, n, size = batch + 1, 0, 0
+                n, size = n + 1, size + c
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "batch"])
+
+    return items.repartition(by).sortWithinPartitions(by, order).mapInArrow(split, T.StructType([*items.schema.fields, T.StructField("batch", T.LongType())]))
 
 
 def context_pack(items: DataFrame, budget: int, *, by: str = "query") -> DataFrame:

@@ -235,6 +235,7 @@ _IMPACT = f"""WITH {_E}, st AS (SELECT dst AS cur, src AS to_, ev, res, id, kind
 b0 AS (SELECT 's3' AS node, struct_pack(weakest := 0, flagged := 0, hops := 0, via := []::varchar[], max_res := 0, provided := false) AS k), {", ".join(_STEP.format(k=k, j=k - 1) for k in (1, 2, 3))},
 i AS (SELECT node, k.weakest AS weakest, k.flagged AS flagged, k.hops AS hops, CASE WHEN k.max_res = 2 THEN 'unknown' WHEN k.max_res = 1 OR k.weakest >= 3 THEN 'low' WHEN k.weakest = 2 OR k.hops > 2 THEN 'medium' ELSE 'high' END AS risk FROM b3 WHERE k.hops > 0)"""
 
+_LEVEL = "SELECT path[:greatest(length(path) - length(name) - 1, 0)] AS path, sha256(string_agg(entry, '|' ORDER BY entry)) AS hash FROM (SELECT path, string_split(path, '/')[-1] AS name, concat_ws(':', kind, length(string_split(path, '/')[-1]), string_split(path, '/')[-1], hash) AS entry FROM ({of})) GROUP BY 1"
 SQL = {
     "as_of_files": f"WITH {_V} {_AT.format(g=1000)}",
     "files_page": f"WITH {_V} SELECT path, content_hash FROM ({_AT.format(g=1000)}) WHERE path > '3' ORDER BY path LIMIT 200",
@@ -267,4 +268,8 @@ SELECT * FROM c WHERE symbol NOT IN (SELECT regexp_replace(symbol, '\\.[^.]*$',
     "edge_merge": "SELECT l_partkey AS src, l_suppkey AS dst, min(CASE WHEN l_returnflag = 'A' THEN 0 ELSE 3 END) AS ev, min((l_quantity > 45)::int) AS res, array_to_string(list_sort(list_distinct(list(l_orderkey::varchar))), ',') AS evidence FROM lineitem GROUP BY 1, 2",
     "contract_parties": f"WITH {_V} SELECT string_split(path, '/')[-1] AS kind, content_hash AS key, coalesce(array_to_string(list_sort(list_distinct(list(string_split(path, '/')[1]) FILTER (valid_from % 2 = 0))), ','), '') AS producers, coalesce(array_to_string(list_sort(list_distinct(list(string_split(path, '/')[1]) FILTER (valid_from % 2 <> 0))), ','), '') AS consumers FROM v WHERE valid_from <= 1500 AND (valid_to IS NULL OR valid_to > 1500) GROUP BY 1, 2",
     "module_rollup": "SELECT l_returnflag AS module, l_linestatus AS other, count(*) AS n FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_shipdate, l_partkey, l_suppkey FROM lineitem WHERE l_returnflag <> l_linestatus) GROUP BY 1, 2",
+    "merkle_root": f"""WITH f AS (SELECT path, arg_max(hash, doc_id) AS hash, 'f' AS kind, len(string_split(path, '/')) AS depth FROM (SELECT concat_ws('/', lang, source, doc_id) AS path, sha256(text) AS hash, doc_id FROM documents) GROUP BY 1),
+c AS ({_LEVEL.format(of="SELECT path, hash, kind FROM f WHERE depth = 3")}),
+b AS ({_LEVEL.format(of="SELECT path, hash, kind FROM f WHERE depth = 2 UNION ALL SELECT path, hash, 'd' FROM c")}),
+a AS ({_LEVEL.format(of="SELECT path, hash, kind FROM f WHERE depth = 1 UNION ALL SELECT path, hash, 'd' FROM b")}) SELECT * FROM c UNION ALL SELECT * FROM b UNION ALL SELECT * FROM a""",
 }

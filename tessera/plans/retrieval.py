@@ -235,6 +235,7 @@ QUERIES = {f.__name__: f for f in (
     bm25_search, facet_language, tokenize_terms, tokenize_code, grep_rank, rrf_fusion, quota_fair, wave_order, source_quota, exact_symbol, exact_path, vector_knn, vector_by_profile,
     scope_admission, overlap_pairs, overlap_merge, enclosing_symbol, rerank_top, eval_metrics, eval_summary, keyset_page, entropy_of_text, fingerprint_similarity, term_shapes, pack_budget, context_pack, embed_batches)}
 
+_RANKED = "SELECT source, doc_id, greatest(ceil(length(text) / {per}.0), {least})::bigint AS cost, row_number() OVER (PARTITION BY source ORDER BY {order}) AS rank FROM documents"
 _LINES = "r AS (SELECT l_orderkey AS f, l_linenumber AS s, l_linenumber + (l_quantity::int % 3) AS e FROM lineitem)"
 SQL = {
     "facet_language": "SELECT coalesce(lang, 'text') AS language, count(*) AS n FROM documents GROUP BY 1",
@@ -259,4 +260,26 @@ SQL = {
     "entropy_of_text": "SELECT item_id, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT item_id, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY item_id) AS t FROM (SELECT item_id, unnest(string_split(text, '')) AS c FROM benchmark) GROUP BY 1, 2) GROUP BY 1",
     "fingerprint_similarity": f"WITH t AS (SELECT item_id, list_distinct({_TOK.format(c='text')}) AS t FROM benchmark) SELECT a.item_id, round(len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)), 6) AS similarity FROM t a JOIN t b ON a.item_id + 1 = b.item_id",
     "term_shapes": "SELECT shape, count(*) AS n FROM (SELECT unnest(['url', 'route', 'line', 'error_code', 'exception', 'qualified', 'identifier', 'word']) AS shape FROM pages) GROUP BY 1",
+    "pack_budget": f"""WITH RECURSIVE d AS ({_RANKED.format(per=4, least=0, order='greatest(ceil(length(text) / 4.0), 0) DESC, doc_id')}),
+w AS (SELECT source, rank AS nxt, 4000 AS room, doc_id, cost, false AS taken FROM d WHERE rank = 1
+UNION ALL SELECT d.source, w.nxt + 1, CASE WHEN d.cost <= w.room THEN w.room - d.cost ELSE w.room END, d.doc_id, d.cost, d.cost <= w.room FROM w JOIN d ON d.source = w.source AND d.rank = w.nxt)
+SELECT source, doc_id, cost, nxt - 1 AS rank FROM w WHERE taken""",
+    "embed_batches": f"""WITH RECURSIVE d AS ({_RANKED.format(per=3, least=1, order='doc_id')}),
+w AS (SELECT source, rank, 0 AS batch, 1 AS held, cost AS size, cost FROM d WHERE rank = 1
+UNION ALL SELECT source, rank, CASE WHEN ends THEN batch + 1 ELSE batch END, CASE WHEN ends THEN 1 ELSE held + 1 END, CASE WHEN ends THEN cost ELSE size + cost END, cost
+FROM (SELECT d.source, d.rank, d.cost, w.batch, w.held, w.size, w.held >= 16 OR w.size + d.cost > 8000 AS ends FROM w JOIN d ON d.source = w.source AND d.rank = w.rank + 1))
+SELECT source, batch, count(*) AS n, sum(cost) AS tokens FROM w GROUP BY 1, 2""",
+    "context_pack": """WITH RECURSIVE d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, coalesce(sha256(text), '') AS h, greatest(ceil(length(substring(text, 1, 80)) / 4.0), 0)::bigint AS skeleton, greatest(ceil(length(text) / 4.0), 0)::bigint AS body, doc_id % 11 = 0 AS stale FROM documents),
+w AS (SELECT DISTINCT source, 0::bigint AS rank, 4000::bigint AS room, []::varchar[] AS seen, NULL::bigint AS doc_id, '' AS state, 0::bigint AS more FROM d
+UNION ALL SELECT source, rank, CASE WHEN state = 'skeleton' THEN room - skeleton ELSE room END, CASE WHEN state = 'skeleton' THEN list_append(seen, h) ELSE seen END, doc_id, state, body - skeleton
+FROM (SELECT d.*, w.room, w.seen, CASE WHEN d.stale THEN 'stale' WHEN list_contains(w.seen, d.h) THEN 'duplicate' WHEN d.skeleton <= w.room THEN 'skeleton' ELSE 'over_budget' END AS state FROM w JOIN d ON d.source = w.source AND d.rank = w.rank + 1)),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank) AS k FROM w WHERE state = 'skeleton'),
+v AS (SELECT source, 0::bigint AS k, arg_max(room, rank) AS room, NULL::bigint AS doc_id, false AS fits FROM w GROUP BY 1
+UNION ALL SELECT k.source, k.k, CASE WHEN k.more <= v.room THEN v.room - k.more ELSE v.room END, k.doc_id, k.more <= v.room FROM v JOIN k ON k.source = v.source AND k.k = v.k + 1)
+SELECT w.source AS query, w.rank, w.doc_id AS id, CASE WHEN coalesce(v.fits, false) THEN 'body' ELSE w.state END AS packed FROM w LEFT JOIN v ON v.source = w.source AND v.doc_id = w.doc_id WHERE w.rank > 0""",
+    "overlap_merge": """WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, s, e) AS rank FROM (SELECT l_orderkey AS file, l_linenumber::bigint AS s, (l_linenumber + l_quantity::int % 3)::bigint AS e, l_quantity::double AS score FROM lineitem)),
+w AS (SELECT file, rank, s, e, score, [{'s': s, 'e': e}] AS kept, 1::bigint AS pos FROM d WHERE rank = 1
+UNION ALL SELECT file, rank, s, e, score, CASE WHEN pos IS NULL THEN list_append(kept, {'s': s, 'e': e}) ELSE kept END, coalesce(pos, len(kept) + 1)
+FROM (SELECT d.*, w.kept, nullif(coalesce(list_position(list_transform(w.kept, lambda x: d.s <= x.e AND x.s <= d.e), true), 0), 0) AS pos FROM w JOIN d ON d.file = w.file AND d.rank = w.rank + 1))
+SELECT file, arg_min(s, rank) AS start, arg_min(e, rank) AS "end", sum(score) AS score, count(*) AS n_merged FROM w GROUP BY file, pos""",
 }

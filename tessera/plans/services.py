@@ -302,4 +302,12 @@ UNION ALL SELECT id, 'symbol_' || CASE WHEN id % 50 % 2 = 0 THEN 'changed' ELSE
     "manifest_diff": "WITH o AS (SELECT c_custkey AS project, c_mktsegment AS c FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS project, CASE WHEN c_custkey % 5 = 0 THEN 'new' ELSE c_mktsegment END AS c FROM customer WHERE c_custkey % 4 <> 0) SELECT * FROM (SELECT coalesce(o.project, n.project) AS project, CASE WHEN o.c IS NULL THEN 'added' WHEN n.c IS NULL THEN 'removed' WHEN o.c <> n.c THEN 'moved' END AS change, o.c AS old_commit, n.c AS new_commit FROM o FULL JOIN n ON o.project = n.project) WHERE change IS NOT NULL",
     "row_access": "SELECT c_nationkey AS project, count(*) AS n FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1 AND n_nationkey % 3 >= 1) GROUP BY 1",
     "unit_vectors": "WITH e AS (SELECT vec_id, embedding[1:16]::double[] AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e) SELECT vec_id, round(v[1] / n, 6) AS first, round(v[16] / n, 6) AS last FROM n",
+    "resolve_names": f"""WITH li AS (SELECT *, 'd' || (l_orderkey % 100) || '/' || l_orderkey AS file, 'd' || (l_orderkey % 100) AS dir FROM lineitem),
+u AS (SELECT DISTINCT file, dir, 'n' || (l_partkey % 300) AS name FROM li), d AS (SELECT file, dir, 'n' || (l_suppkey % 300) AS name, file || '#' || l_suppkey AS symbol FROM li WHERE l_linenumber = 1),
+i AS (SELECT file, 'd' || (l_suppkey % 100) || '/' || l_suppkey AS target FROM li WHERE l_linenumber = 2),
+s AS (SELECT u.file, u.name, symbol, 1 AS scope FROM u JOIN d ON d.file = u.file AND d.name = u.name
+UNION SELECT u.file, u.name, symbol, 2 FROM u JOIN i ON i.file = u.file JOIN d ON d.file = i.target AND d.name = u.name
+UNION SELECT u.file, u.name, symbol, 3 FROM u JOIN d ON d.dir = u.dir AND d.name = u.name AND d.file <> u.file),
+g AS (SELECT file, name, scope, count(*) AS n, row_number() OVER (PARTITION BY file, name ORDER BY scope) AS k FROM s GROUP BY 1, 2, 3)
+SELECT ['file', 'import', 'directory'][scope] AS scope, n > 1 AS ambiguous, count(*) AS n FROM g WHERE k = 1 AND n <= {C.MAX_CANDIDATES} GROUP BY 1, 2""",
 }

@@ -304,3 +304,26 @@ def test_job_queue(spark):
     assert U.enqueue(j, j.withColumn("id", F.col("id") + 10)).count() == 6
     with pytest.raises(ValueError):
         U.claim(j, [], "w", now, 1)
+
+
+def test_batches_of_a_long_source_carry_over_arrow_batches(spark):
+    from tessera.operators import retrieval as R
+
+    cost = lambda i: None if i % 17 == 0 else (i * 37) % 90
+    rows = [("a", i, cost(i)) for i in range(700)] + [("b", i, 5) for i in range(3)]
+    want, batch, n, size = {}, 0, 0, 0
+    for i in range(700):
+        c = cost(i) or 0
+        if n and (n >= 16 or size + c > 400):
+            batch, n, size = batch + 1, 0, 0
+        n, size = n + 1, size + c
+        want["a", i] = batch
+    want |= {("b", i): 0 for i in range(3)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        items = spark.createDataFrame(rows, "source string, rank long, cost long")
+        got = R.batch_split(items, 16, 400, by="source").collect()
+        assert {(r["source"], r["rank"]): r["batch"] for r in got} == want and len(got) == len(rows)
+        assert R.batch_split(items.limit(0), 16, 400, by="source").columns == ["source", "rank", "cost", "batch"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
