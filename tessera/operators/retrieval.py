@@ -177,6 +177,62 @@ def merge_overlaps(groups: DataFrame, *, by: str = "file") -> DataFrame:
     return ordered.mapInPandas(fold, f"{by} {kind}, start bigint, end bigint, score double, n_merged bigint")
 
 
+def overlap_keepers(groups: DataFrame, *order: Column, by: tuple[str, ...]) -> DataFrame:
+    """``groups`` with (kept_start, kept_end): the first kept range of the file that a range overlaps, in order, else the range itself.
+
+    A file's ranges come sorted, batch by batch; only its kept ranges are carried on.
+    """
+
+    def fold(batches):
+        file, kept = object(), []
+        for b in batches:
+            found = []
+            for f, start, end in zip(zip(*(b.column(c).to_pylist() for c in by)), b.column("start").to_pylist(), b.column("end").to_pylist()):
+                if f != file:
+                    file, kept = f, []
+                at = next((x for x in kept if start <= x[1] and x[0] <= end), None)
+                if at is None:
+                    at = (start, end)
+                    kept.append(at)
+                found.append(at)
+            ends = [pa.array([x[k] for x in found], b.schema.field(c).type) for k, c in enumerate(("start", "end"))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *ends], names=[*b.schema.names, "kept_start", "kept_end"])
+
+    out = T.StructType([*groups.schema.fields, T.StructField("kept_start", groups.schema["start"].dataType), T.StructField("kept_end", groups.schema["end"].dataType)])
+    return groups.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(fold, out)
+
+
+FILE = ("project", "path", "view", "generation")
+
+
+def fuse(candidates: DataFrame, pins: DataFrame, weights: dict[str, float], *, quota: int, declared: DataFrame | None = None, k: int = 60) -> DataFrame:
+    """The fused shortlist (project, path, view, generation, start, end, score, n_sources, best_rank, n_merged, rank).
+
+    In order: well-formed candidates of pinned views; base rows whose path the
+    overlay has, or declares as changed, go; ``quota`` of each source and
+    project; equal locations are one group; a group joins the best one of its
+    file that it overlaps, each source with its best rank; all sorted anew.
+    candidates: (source, id, project, path, view, generation, start, end,
+    source_rank, raw_score); pins: (project, view, generation, layer), layer
+    base or overlay, small; declared: (project, path).  A candidate without
+    one of path, range, rank or a finite score is not well-formed.
+    """
+    c = candidates.where((F.col("source_rank") >= 1) & (F.col("path") != "") & (F.col("start") >= 1) & (F.col("start") <= F.col("end")) & (F.abs("raw_score") < float("inf")))
+    c = c.join(pins.select("project", "view", "generation", "layer").distinct(), ["project", "view", "generation"])
+    hides = c.where("layer = 'overlay'").select("project", "path")
+    hides = hides if declared is None else hides.unionByName(declared.select("project", "path"))
+    c = c.join(hides.distinct().withColumn("layer", F.lit("base")), ["project", "path", "layer"], "left_anti")
+    c = source_quota(c, quota, F.asc("source_rank"), F.desc("raw_score"), *(F.asc(x) for x in (*FILE, "start", "end", "id")))
+    place = (*FILE, "start", "end")
+    weight = F.coalesce(F.create_map(*[x for n, v in weights.items() for x in (F.lit(n), F.lit(float(v)))])[F.col("source")], F.lit(0.0))
+    total = (F.round(F.sum(weight / (k + F.col("r"))), 12).alias("score"), F.count("*").alias("n_sources"), F.min("r").alias("best_rank"))
+    groups = c.groupBy(*place, "source").agg(F.min("source_rank").alias("r")).groupBy(*place).agg(*total, F.collect_list(F.struct("source", "r")).alias("hits"))
+    best = (F.desc("score"), F.desc("n_sources"), F.asc("best_rank"))
+    kept = overlap_keepers(groups, *best, F.asc("start"), F.asc("end"), by=FILE).select(*FILE, F.col("kept_start").alias("start"), F.col("kept_end").alias("end"), ((F.col("start") != F.col("kept_start")) | (F.col("end") != F.col("kept_end"))).cast("long").alias("m"), F.posexplode("hits").alias("at", "hit"))
+    hits = kept.groupBy(*place, F.col("hit.source").alias("source")).agg(F.min("hit.r").alias("r"), F.sum(F.when(F.col("at") == 0, F.col("m")).otherwise(0)).alias("m"))
+    return ranked(hits.groupBy(*place).agg(*total, F.sum("m").alias("n_merged")), *best, *(F.asc(x) for x in place))
+
+
 def smallest_enclosing(spans: DataFrame, symbols: DataFrame, by: str = "file") -> DataFrame:
     """Of each span the symbol that holds it: fewest lines, then lowest start."""
     j = spans.alias("a").join(symbols.alias("b"), (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("b.start") <= F.col("a.start")) & (F.col("b.end") >= F.col("a.end")))

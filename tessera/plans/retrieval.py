@@ -148,6 +148,18 @@ def overlap_merge(spark: SparkSession, d: str) -> DataFrame:
     return R.merge_overlaps(r)
 
 
+def fused_search(spark: SparkSession, d: str) -> DataFrame:
+    """Line ranges of orders as candidates of three sources, fused over pinned views with an overlay."""
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    view = F.when((o % 7 == 0) & (n == 1), "mine").otherwise("main")
+    source = F.element_at(F.array(*map(F.lit, ("exact", "lexical", "vector"))), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    c = table(spark, d, "lineitem").select(source.alias("source"), F.concat_ws("-", o, n).alias("id"), (o % 10).alias("project"), o.cast("string").alias("path"), view.alias("view"), (o % 3).alias("generation"), n.cast("long").alias("start"), (n + F.col("l_quantity").cast("int") % 3).cast("long").alias("end"), (F.col("l_partkey") % 50).alias("source_rank"), F.col("l_extendedprice").cast("double").alias("raw_score"))
+    views = F.explode(F.array(F.struct(F.lit("main").alias("view"), F.lit("base").alias("layer")), F.struct(F.lit("mine").alias("view"), F.lit("overlay").alias("layer"))))
+    pins = spark.range(9).select(F.col("id").alias("project"), (F.col("id") % 3).alias("generation"), views.alias("v")).select("project", "generation", "v.*")
+    declared = c.where("path % 11 = 0").select("project", "path")
+    return R.fuse(c, pins, {"exact": 0.9, "lexical": 1.0, "vector": 0.8}, quota=500, declared=declared)
+
+
 def enclosing_symbol(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + (F.col("l_quantity").cast("int") % 3)).cast("int").alias("end"))
     sym = r.select("file", "start", "end", F.concat(F.lit("s"), "start").alias("symbol"))
@@ -233,7 +245,7 @@ def embed_batches(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     bm25_search, facet_language, tokenize_terms, tokenize_code, grep_rank, rrf_fusion, quota_fair, wave_order, source_quota, exact_symbol, exact_path, vector_knn, vector_by_profile,
-    scope_admission, overlap_pairs, overlap_merge, enclosing_symbol, rerank_top, eval_metrics, eval_summary, keyset_page, entropy_of_text, fingerprint_similarity, term_shapes, pack_budget, context_pack, embed_batches)}
+    scope_admission, overlap_pairs, overlap_merge, fused_search, enclosing_symbol, rerank_top, eval_metrics, eval_summary, keyset_page, entropy_of_text, fingerprint_similarity, term_shapes, pack_budget, context_pack, embed_batches)}
 
 _RANKED = "SELECT source, doc_id, greatest(ceil(length(text) / {per}.0), {least})::bigint AS cost, row_number() OVER (PARTITION BY source ORDER BY {order}) AS rank FROM documents"
 _LINES = "r AS (SELECT l_orderkey AS f, l_linenumber AS s, l_linenumber + (l_quantity::int % 3) AS e FROM lineitem)"
@@ -282,4 +294,18 @@ w AS (SELECT file, rank, s, e, score, [{'s': s, 'e': e}] AS kept, 1::bigint AS p
 UNION ALL SELECT file, rank, s, e, score, CASE WHEN pos IS NULL THEN list_append(kept, {'s': s, 'e': e}) ELSE kept END, coalesce(pos, len(kept) + 1)
 FROM (SELECT d.*, w.kept, nullif(coalesce(list_position(list_transform(w.kept, lambda x: d.s <= x.e AND x.s <= d.e), true), 0), 0) AS pos FROM w JOIN d ON d.file = w.file AND d.rank = w.rank + 1))
 SELECT file, arg_min(s, rank) AS start, arg_min(e, rank) AS "end", sum(score) AS score, count(*) AS n_merged FROM w GROUP BY file, pos""",
+    "fused_search": """WITH RECURSIVE li AS (SELECT ['exact', 'lexical', 'vector'][l_suppkey % 3 + 1] AS source, l_orderkey || '-' || l_linenumber AS id, l_orderkey % 10 AS project, l_orderkey::varchar AS path, CASE WHEN l_orderkey % 7 = 0 AND l_linenumber = 1 THEN 'mine' ELSE 'main' END AS view, l_orderkey % 3 AS generation, l_linenumber::bigint AS s, (l_linenumber + l_quantity::int % 3)::bigint AS e, l_partkey % 50 AS sr, l_extendedprice::double AS raw FROM lineitem),
+ad AS (SELECT * FROM li WHERE sr > 0 AND project < 9 AND generation = project % 3),
+sh AS (SELECT * FROM ad WHERE view = 'mine' OR (path::bigint % 11 <> 0 AND path NOT IN (SELECT path FROM ad WHERE view = 'mine'))),
+qu AS (SELECT * FROM sh QUALIFY row_number() OVER (PARTITION BY source, project ORDER BY sr, raw DESC, path, view, generation, s, e, id) <= 500),
+h1 AS (SELECT project, path, view, generation, s, e, source, min(sr) AS r FROM qu GROUP BY ALL),
+gr AS (SELECT project, path, view, generation, s, e, round(sum(CASE source WHEN 'exact' THEN 0.9::double WHEN 'lexical' THEN 1.0 ELSE 0.8::double END / (60 + r)), 12) AS score, count(*) AS n, min(r) AS b FROM h1 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY path, view ORDER BY score DESC, n DESC, b, s, e) AS k FROM gr),
+w AS (SELECT path, view, k, s, e, [{'s': s, 'e': e}] AS kept, {'s': s, 'e': e} AS home FROM o WHERE k = 1
+UNION ALL SELECT path, view, k, s, e, CASE WHEN len(found) = 0 THEN list_append(kept, {'s': s, 'e': e}) ELSE kept END, CASE WHEN len(found) = 0 THEN {'s': s, 'e': e} ELSE found[1] END
+FROM (SELECT o.path, o.view, o.k, o.s, o.e, w.kept, list_filter(w.kept, lambda x: o.s <= x.e AND x.s <= o.e) AS found FROM w JOIN o ON o.path = w.path AND o.view = w.view AND o.k = w.k + 1)),
+h2 AS (SELECT h1.project, h1.path, h1.view, h1.generation, w.home.s AS s, w.home.e AS e, source, min(r) AS r FROM h1 JOIN w ON w.path = h1.path AND w.view = h1.view AND w.s = h1.s AND w.e = h1.e GROUP BY ALL),
+m AS (SELECT path, view, home.s AS s, home.e AS e, count(*) - 1 AS n_merged FROM w GROUP BY ALL),
+f AS (SELECT h2.project, h2.path, h2.view, h2.generation, h2.s, h2.e, round(sum(CASE source WHEN 'exact' THEN 0.9::double WHEN 'lexical' THEN 1.0 ELSE 0.8::double END / (60 + r)), 12) AS score, count(*) AS n_sources, min(r) AS best_rank FROM h2 GROUP BY ALL)
+SELECT f.project, f.path, f.view, f.generation, f.s AS start, f.e AS "end", score, n_sources, best_rank, n_merged, row_number() OVER (ORDER BY score DESC, n_sources DESC, best_rank, f.project, f.path, f.view, f.generation, f.s, f.e) AS rank FROM f JOIN m ON m.path = f.path AND m.view = f.view AND m.s = f.s AND m.e = f.e""",
 }
