@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterable
@@ -129,6 +130,52 @@ SHAPES = (  # in order of precedence
 )
 
 
+def literal_prefixes(prefixes: Iterable[str]) -> list[str]:
+    """Trimmed, distinct and sorted path prefixes; empty ones go, and what is no relative path is an error.  Wildcards stay literal."""
+    found = set()
+    for p in prefixes:
+        if any(unicodedata.category(ch) == "Cc" for ch in p):
+            raise ValueError("a prefix has no control characters")
+        p = p.strip()
+        if p and any(part in ("", ".", "..") for part in p.removesuffix("/").split("/")):
+            raise ValueError("a prefix is a relative path without empty, '.' or '..' parts")
+        found |= {p} - {""}
+    return sorted(found)
+
+
+def under_any(c: Column, prefixes: Iterable[str]) -> Column:
+    """Whether a path starts with one of the prefixes; without any, every path does."""
+    asked = literal_prefixes(prefixes)
+    return functools.reduce(lambda a, b: a | b, (c.startswith(p) for p in asked)) if asked else F.lit(True)
+
+
+#: Trace lines: a quoted file with its line; a call with its place in brackets; a bare place.  Places count lines from 1.
+_PY_FRAME = r'^File "([^"]*)", line (\d+)(?:.*?, in (.*))?'
+_CALL_FRAME = r"^at (.*)\(([^()]+?):0*([1-9]\d*)(?::(\d+))?\)$"
+_BARE_FRAME = r"^at ([^()]+?):0*([1-9]\d*)(?::(\d+))?$"
+
+
+def trace_frames(text: Column) -> Column:
+    """array of (path, line, column, symbol): the frames of a stack trace, top down; other lines give none, null text an empty array.
+
+    A line number is an integer, a missing column or symbol null; ``\\`` in paths becomes ``/``.
+    """
+
+    def frame(line: Column) -> Column:
+        def part(pattern: str, n: int) -> Column:
+            return F.trim(F.regexp_extract(line, pattern, n))
+
+        def made(pattern: str, path: int, at: int, column: int | None, symbol: int | None) -> Column:
+            other = lambda n: F.lit(None).cast("string") if n is None else F.nullif(part(pattern, n), F.lit(""))
+            return F.struct(F.translate(part(pattern, path), "\\", "/").alias("path"), part(pattern, at).try_cast("int").alias("line"), other(column).try_cast("int").alias("column"), other(symbol).alias("symbol"))
+
+        return (F.when(line.rlike(_PY_FRAME), made(_PY_FRAME, 1, 2, None, 3)).when(line.rlike(_CALL_FRAME), made(_CALL_FRAME, 2, 3, 4, 1))
+                .when(line.rlike(_BARE_FRAME), made(_BARE_FRAME, 1, 2, 3, None)))
+
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x))
+    return F.filter(F.transform(lines, frame), lambda x: x.isNotNull() & x["line"].isNotNull())
+
+
 def shape(c: Column) -> Column:
     """What a query term looks like."""
     out = F.lit("word")

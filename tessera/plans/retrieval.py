@@ -226,6 +226,20 @@ def term_shapes(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy(X.shape(F.col("term")).alias("shape")).agg(F.count("*").alias("n"))
 
 
+def prefix_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each source under literal prefixes."""
+    docs = table(spark, d, "documents").select("source", F.concat_ws("/", F.lit("src"), "source", F.concat("doc_id", F.lit(".txt"))).alias("path"))
+    return docs.where(X.under_any(F.col("path"), ["src/src1", " src/src3/2 ", "src/*", ""])).groupBy("source").agg(F.count("*").alias("n"))
+
+
+def trace_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Frames read back from traces written of customers."""
+    c, n = F.col("c_custkey"), F.col("c_nationkey") + 1
+    text = F.concat(F.lit("Traceback:\n  File \"a\\b"), c, F.lit(".py\", line "), n, F.lit(", in f"), c, F.lit("\n    x = 1\n  at g"), c, F.lit(" (src/a.ts:"), c + 1, F.lit(":"), n, F.lit(")\n at src/b.ts:"), c + 1, F.lit("\n at nowhere\n#3 0x00 in main ()"))
+    frames = table(spark, d, "customer").select(c, F.posexplode(X.trace_frames(text)).alias("at", "f"))
+    return frames.select("c_custkey", "at", "f.path", "f.line", "f.column", "f.symbol")
+
+
 def pack_budget(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", X.estimate(F.col("text")).alias("cost"))
     r = R.ranked(docs, F.desc("cost"), F.asc("doc_id"), by=("source",))
@@ -245,7 +259,7 @@ def embed_batches(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     bm25_search, facet_language, tokenize_terms, tokenize_code, grep_rank, rrf_fusion, quota_fair, wave_order, source_quota, exact_symbol, exact_path, vector_knn, vector_by_profile,
-    scope_admission, overlap_pairs, overlap_merge, fused_search, enclosing_symbol, rerank_top, eval_metrics, eval_summary, keyset_page, entropy_of_text, fingerprint_similarity, term_shapes, pack_budget, context_pack, embed_batches)}
+    scope_admission, overlap_pairs, overlap_merge, fused_search, enclosing_symbol, rerank_top, eval_metrics, eval_summary, keyset_page, entropy_of_text, fingerprint_similarity, term_shapes, prefix_filter, trace_frames, pack_budget, context_pack, embed_batches)}
 
 _RANKED = "SELECT source, doc_id, greatest(ceil(length(text) / {per}.0), {least})::bigint AS cost, row_number() OVER (PARTITION BY source ORDER BY {order}) AS rank FROM documents"
 _LINES = "r AS (SELECT l_orderkey AS f, l_linenumber AS s, l_linenumber + (l_quantity::int % 3) AS e FROM lineitem)"
@@ -308,4 +322,7 @@ h2 AS (SELECT h1.project, h1.path, h1.view, h1.generation, w.home.s AS s, w.home
 m AS (SELECT path, view, home.s AS s, home.e AS e, count(*) - 1 AS n_merged FROM w GROUP BY ALL),
 f AS (SELECT h2.project, h2.path, h2.view, h2.generation, h2.s, h2.e, round(sum(CASE source WHEN 'exact' THEN 0.9::double WHEN 'lexical' THEN 1.0 ELSE 0.8::double END / (60 + r)), 12) AS score, count(*) AS n_sources, min(r) AS best_rank FROM h2 GROUP BY ALL)
 SELECT f.project, f.path, f.view, f.generation, f.s AS start, f.e AS "end", score, n_sources, best_rank, n_merged, row_number() OVER (ORDER BY score DESC, n_sources DESC, best_rank, f.project, f.path, f.view, f.generation, f.s, f.e) AS rank FROM f JOIN m ON m.path = f.path AND m.view = f.view AND m.s = f.s AND m.e = f.e""",
+    "prefix_filter": "SELECT source, count(*) AS n FROM documents WHERE starts_with(source || '/', 'src1') OR (source = 'src3' AND starts_with(doc_id::varchar, '2')) GROUP BY 1",
+    "trace_frames": """SELECT c_custkey, 0 AS at, 'a/b' || c_custkey || '.py' AS path, (c_nationkey + 1)::int AS line, NULL::int AS "column", 'f' || c_custkey AS symbol FROM customer
+UNION ALL SELECT c_custkey, 1, 'src/a.ts', c_custkey::int + 1, (c_nationkey + 1)::int, 'g' || c_custkey FROM customer UNION ALL SELECT c_custkey, 2, 'src/b.ts', c_custkey::int + 1, NULL, NULL FROM customer""",
 }

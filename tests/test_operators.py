@@ -327,3 +327,46 @@ def test_batches_of_a_long_source_carry_over_arrow_batches(spark):
         assert R.batch_split(items.limit(0), 16, 400, by="source").columns == ["source", "rank", "cost", "batch"]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_prefixes_are_literal_and_relative(spark):
+    from tessera.functions import text as X
+
+    assert X.literal_prefixes([" a/ ", "b*", "a/", ""]) == ["a/", "b*"]
+    for bad in ("/a", "a//b", "../a", "a/./b", "a\n"):
+        with pytest.raises(ValueError):
+            X.literal_prefixes([bad])
+    paths = spark.createDataFrame([("a/x",), ("b*c",), ("bc",), (None,)], "p string")
+    assert [r["p"] for r in paths.where(X.under_any(F.col("p"), ["a/", "b*"])).collect()] == ["a/x", "b*c"]
+    assert paths.where(X.under_any(F.col("p"), [""])).count() == 4
+
+
+def test_trace_frames_of_lines(spark):
+    from tessera.functions import text as X
+
+    cases = {
+        'File "a.py", line 3': [("a.py", 3, None, None)],
+        "at Bar.baz(Bar.java:42)": [("Bar.java", 42, None, "Bar.baz")],
+        "at (x.ts:1:2)": [("x.ts", 1, 2, None)],
+        "at x.ts:0": [], "at x.ts": [], "": [], None: [],
+        'File "a.py", line 99999999999': [],
+        "  at C:\\w\\y.ts:7:1\n at z.ts:5": [("C:/w/y.ts", 7, 1, None), ("z.ts", 5, None, None)],
+        "at f (" * 5000: [],
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", X.trace_frames(F.col("t")).alias("f")).collect()
+    assert {r["t"]: [tuple(x) for x in r["f"]] for r in got} == cases
+
+
+def test_fuse_shadows_merges_and_keeps_each_sources_best_rank(spark):
+    from tessera.operators import retrieval as R
+
+    rows = [("a", "1", 1, "x", "m", 1, 1, 5, 1, 1.0), ("b", "2", 1, "x", "m", 1, 4, 9, 2, 1.0), ("a", "3", 1, "x", "m", 1, 6, 8, 3, 1.0), ("b", "4", 1, "x", "m", 1, 20, 21, 4, 1.0),
+            ("a", "5", 1, "y", "m", 1, 1, 2, 1, 1.0), ("a", "6", 1, "y", "w", 1, 3, 4, 9, 1.0), ("a", "7", 1, "z", "m", 1, 1, 1, 5, 1.0),
+            ("a", "8", 1, "x", "m", 2, 1, 1, 1, 1.0), ("a", "9", 1, "x", "m", 1, 5, 4, 1, 1.0), ("a", "10", 1, None, "m", 1, 1, 1, 1, 1.0), ("a", "11", 1, "x", "m", 1, 1, 1, 1, float("nan"))]
+    c = spark.createDataFrame(rows, "source string, id string, project int, path string, view string, generation int, start long, end long, source_rank int, raw_score double")
+    pins = spark.createDataFrame([(1, "m", 1, "base"), (1, "w", 1, "overlay")], "project int, view string, generation int, layer string")
+    declared = spark.createDataFrame([(1, "z")], "project int, path string")
+    got = R.fuse(c, pins, {"a": 1.0, "b": 1.0}, quota=100, declared=declared).collect()
+    # 4-9 overlaps the better 1-5 and joins it; 6-8 overlaps only 4-9, which is not kept, and stays
+    assert [(r["path"], r["start"], r["end"], r["n_sources"], r["best_rank"], r["n_merged"]) for r in got] == [("x", 1, 5, 2, 1, 1), ("x", 6, 8, 1, 3, 0), ("x", 20, 21, 1, 4, 0), ("y", 3, 4, 1, 9, 0)]
+    assert R.fuse(c.limit(0), pins, {"a": 1.0}, quota=1).count() == 0
