@@ -81,6 +81,19 @@ def test_co_changes_count_pairs_of_large_groups(spark):
         assert len(got) == len(want) and {(r["a"], r["b"]): r["n"] for r in got} == want
 
 
+def test_co_changes_by_tiles_equal_those_by_pairs_and_shuffle_no_pair(spark):
+    rows = [(f"g{g}", f"i{i}") for g in range(1500) for i in range(g % 7, 60, 1 + g % 11)]
+    changes = spark.createDataFrame([*rows, *rows[:50], ("g1", None), (None, "i1")], "g string, i string")
+    want = {tuple(r) for r in V.co_changes(changes, group="g", item="i", least=3, tiled=False).collect()}
+    for tile in (5, 2048):
+        got = V.co_changes(changes, group="g", item="i", least=3, tile=tile, tiled=True).collect()
+        assert len(got) == len(want) > 1000 and {tuple(r) for r in got} == want
+    dense = V.co_changes(changes, group="g", item="i", least=3)  # 36 tiles move fewer rows than the pairs
+    text = dense._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and {tuple(r) for r in dense.collect()} == want
+    assert V.co_changes(changes.limit(0), group="g", item="i").count() == V.co_changes(changes.limit(0), group="g", item="i", tiled=True).count() == 0
+
+
 EDGES = [("controller", "endpoint", "exposes", 1), ("controller", "service", "calls", 0), ("service", "topic", "produces", 1), ("service", "subscriptions", "writes", 0), ("service", "repo", "calls", 0), ("repo", "subscriptions", "reads", 0), ("report", "audit_log", "reads", 0),
          ("billing_test", "service", "tests", 0), ("ui", "endpoint", "consumes", 1), ("ui", "helper", "calls", 3), ("helper", "service", "calls", 3), ("web_test", "ui", "tests", 0), ("consumer", "topic", "consumes", 1), ("consumer", "audit_log", "writes", 0), ("consumer", "env", "reads", 2)]
 
