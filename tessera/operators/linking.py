@@ -34,24 +34,26 @@ def edge_kind(role: Column, kind: Column) -> Column:
 def match_endpoints(consumers: DataFrame, providers: DataFrame) -> DataFrame:
     """(key, target, score): for each distinct consumer key the provider keys with the highest score.
 
-    Keys meet by (number of segments, first segment): a literal first segment
-    meets the same one and those that are patterns, a pattern meets all of its
-    length.
+    A key's mask is which of its segments hold ``{}``.  Two keys can match only
+    if they have as many segments and agree in all that are literal in both, so
+    they meet by equality on (segments, both masks, those segments): each key is
+    listed once for each mask that the other side has at its length.  The masks
+    are few (shapes of paths, not paths), and they alone are broadcast.
     """
-    c = consumers.select("key").distinct().withColumn("cs", K.segments_of(F.col("key")))
-    p = providers.select(F.col("key").alias("target")).distinct().withColumn("ps", K.segments_of(F.col("target")))
+    def keyed(df: DataFrame, name: str, segs: str, mask: str) -> DataFrame:
+        d = df.select(F.col("key").alias(name)).distinct().withColumn(segs, K.segments_of(F.col(name)))
+        return d.withColumns({"n": F.size(segs), mask: F.array_join(F.transform(segs, lambda x: x.contains("{}").cast("int").cast("string")), "")})
 
-    def blocks(segs: str, own: bool) -> Column:
-        first = F.coalesce(F.try_element_at(segs, F.lit(1)), F.lit(""))
-        pattern = first.contains("{}")
-        name = lambda x: F.concat_ws(" ", F.size(segs).cast("string"), x)
-        any_, some, lit = name(F.lit("{any}")), name(F.lit("{}")), name(first)
-        return F.when(pattern, F.array(any_)).otherwise(F.array(lit, some)) if own else F.array(any_, F.when(pattern, some).otherwise(lit))
+    def against(own: DataFrame, segs: str, mine: str, other: DataFrame, theirs: str) -> DataFrame:
+        shapes = other.select("n", theirs).distinct()
+        literal = F.filter(F.transform(segs, lambda x, i: F.when((F.substring(F.col(mine), i + 1, F.lit(1)) == "0") & (F.substring(F.col(theirs), i + 1, F.lit(1)) == "0"), x)), lambda x: x.isNotNull())
+        return own.join(F.broadcast(shapes), "n").withColumn("rest", literal)
 
-    j = c.withColumn("b", F.explode(blocks("cs", True))).join(p.withColumn("b", F.explode(blocks("ps", False))), "b")
+    c, p = keyed(consumers, "key", "cs", "cm"), keyed(providers, "target", "ps", "pm")
+    j = against(c, "cs", "cm", p, "pm").join(against(p, "ps", "pm", c, "cm"), ["n", "cm", "pm", "rest"])
     s = j.select("key", "target", K.endpoint_score(F.col("key"), F.col("target"), F.col("cs"), F.col("ps")).alias("score")).where("score IS NOT NULL")
-    best = s.groupBy("key").agg(F.max("score").alias("score"))
-    return s.join(best, ["key", "score"]).select("key", "target", "score")
+    best = F.max("score").over(Window.partitionBy("key"))
+    return s.withColumn("best", best).where("score = best").select("key", "target", "score")
 
 
 def match_rpcs(consumers: DataFrame, providers: DataFrame) -> DataFrame:

@@ -144,6 +144,21 @@ def test_endpoints_match_the_most_specific(spark):
     assert got == {"GET /v1/orders/7": {"GET /v1/orders/7"}, "GET /v1/orders/{}": {"GET /v1/orders/{}", "GET /v1/orders/7"}, "* /v1/x{}": {"GET /v1/xyz", "POST /v1/xyz"}}
 
 
+def test_endpoints_of_one_folder_do_not_all_meet(spark, monkeypatch):
+    every = [f"{m} /{a}/{b}" for m in ("GET", "*") for a in ("en", "{}", "e{}") for b in ("7", "8", "{}", "7{}", "x/{}", "x/y")] + ["GET /", "GET", "*", "GET /{}"]
+    keys = spark.createDataFrame([(k,) for k in every], "key string")
+    pairs = keys.select("key", K.segments_of(F.col("key")).alias("cs")).crossJoin(keys.select(F.col("key").alias("target"), K.segments_of(F.col("key")).alias("ps")))
+    scored = pairs.select("key", "target", K.endpoint_score(F.col("key"), F.col("target"), F.col("cs"), F.col("ps")).alias("score")).where("score IS NOT NULL").collect()
+    top = {}
+    for r in scored:
+        top[r["key"]] = max(top.get(r["key"], 0), r["score"])
+    assert {tuple(r) for r in L.match_endpoints(keys, keys).collect()} == {tuple(r) for r in scored if r["score"] == top[r["key"]]}
+    c = spark.range(2000).select(F.concat(F.lit("GET /en/"), "id").alias("key"))
+    p = c.unionByName(spark.createDataFrame([("GET /en/{}",)], "key string"))
+    monkeypatch.setattr(K, "endpoint_score", lambda *_: F.lit(0))  # every pair that meets is then a result
+    assert L.match_endpoints(c, p).count() == 4000
+
+
 def test_resolution_kinds(spark):
     known = spark.createDataFrame([("topic", "order.created"), ("topic", "order.paid"), ("rpc", "shop.v1.Orders/Get"), ("endpoint", "GET /v1/a")], "kind string, key string")
     e = spark.createDataFrame([("topic", "order.created", False), ("topic", "order.{}", True), ("rpc", "Orders/get", False), ("endpoint", "GET /api/v1/a", False), ("topic", "{}", True), ("env", "X", False)], "kind string, key string, dynamic boolean")
