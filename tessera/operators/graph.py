@@ -1,7 +1,8 @@
 """Property-graph operators: walks, impact, flow, insights, contract parties.
 
 Frontiers are DataFrames; a level is one join.  Levels are cut in the shared
-checkpoint folder so that plans stay small.  Edges: (src, dst, kind, ev, res)
+checkpoint folder so that plans stay small.  The edges are not: a level asks for
+those at its frontier (``touching``), which goes down to their scan.  Edges: (src, dst, kind, ev, res)
 with ``ev`` the rank of the evidence (0 is strongest) and ``res`` 0 resolved,
 1 ambiguous, 2 unresolved.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.session import cut
 
 MAX_DEPTH = 8
+BROADCAST_NODES = 200_000  # of a frontier that is sent to every executor
 INCOMING = ("calls", "references", "implements", "imports", "depends_on", "consumes", "reads", "writes", "produces", "exposes", "tests", "documents", "decides")
 PROVIDER = ("exposes", "produces", "writes")
 
@@ -31,6 +33,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "id").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "id"))
 
 
+def touching(edges: DataFrame, nodes: DataFrame, n: int, end: str) -> DataFrame:
+    """Edges with their ``end`` (src or dst) among the ``n`` rows of ``nodes`` (node).
+
+    Up to ``BROADCAST_NODES`` are broadcast, and the optimizer carries the semi
+    join below unions and aggregates to the scans: other edges are never
+    grouped, shuffled or written.  A larger frontier is joined by a shuffle.
+    """
+    at = nodes.select(F.col("node").alias("_at")).distinct()
+    return edges.join(F.broadcast(at) if n <= BROADCAST_NODES else at, F.col(end) == F.col("_at"), "left_semi")
+
+
 def walk_edges(edges: DataFrame, start: DataFrame, depth: int, *, direction: str = "out", limit: int | None = None) -> DataFrame:
     """(id, depth): edges on a path of at most ``depth`` steps from ``start`` (node), each at its least depth.
 
@@ -39,15 +52,18 @@ def walk_edges(edges: DataFrame, start: DataFrame, depth: int, *, direction: str
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError("depth is 1 to 8")
-    e = cut(edges.select("src", "dst", "id"))  # read once for all levels
-    e = e if direction == "out" else e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "id") if direction == "in" else both_ways(e)
-    front = start.select("node").distinct()
+    edges = edges.select("src", "dst", "id")
+    front = cut(start.select("node").distinct())
+    n = front.count()
     seen, out = front, None
     for d in range(1, depth + 1):
-        step = cut(e.join(front, e.src == front.node, "left_semi").select("id", "dst", F.lit(d).alias("depth")))
+        ahead, back = touching(edges, front, n, "src"), touching(edges, front, n, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "id")
+        e = ahead if direction == "out" else back if direction == "in" else ahead.unionByName(back)
+        step = cut(e.select("id", "dst", F.lit(d).alias("depth")))
         out = step.select("id", "depth") if out is None else out.unionByName(step.select("id", "depth"))
         front = cut(step.select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
-        if front.isEmpty():
+        n = front.count()
+        if not n:
             break
         seen = seen.unionByName(front)
     out = out.groupBy("id").agg(F.min("depth").alias("depth"))
@@ -56,13 +72,15 @@ def walk_edges(edges: DataFrame, start: DataFrame, depth: int, *, direction: str
 
 def bfs(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(node, depth, parent): shortest distance, and the smallest parent on a shortest way."""
-    front = start.select("node", F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent"))
+    front = cut(start.select("node", F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")))
+    n = front.count()
     seen = front
-    edges = cut(edges.select("src", "dst"))
+    edges = edges.select("src", "dst")
     for d in range(1, depth + 1):
-        step = edges.join(front.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        step = cut(touching(edges, front, n, "src")).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         front = cut(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth"), "parent"))
-        if front.isEmpty():
+        n = front.count()
+        if not n:
             break
         seen = seen.unionByName(front)
     return seen
@@ -80,11 +98,10 @@ def best_parallel(edges: DataFrame) -> DataFrame:
     return edges.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def impact_steps(edges: DataFrame) -> DataFrame:
-    """(at, to, ..., forward): how a change moves: to an edge's source, and for providers to its target too."""
-    e = edges.where(F.col("kind").isin(list(INCOMING)))
-    back = e.select(F.col("dst").alias("at"), F.col("src").alias("to"), "kind", "ev", "res", "id", F.lit(False).alias("forward"))
-    return back.unionByName(e.where(F.col("kind").isin(list(PROVIDER))).select(F.col("src").alias("at"), F.col("dst").alias("to"), "kind", "ev", "res", "id", F.lit(True).alias("forward")))
+def impact_steps(into: DataFrame, out_of: DataFrame) -> DataFrame:
+    """(at, to, ..., forward): how a change moves: to the source of an edge ``into`` it, and for providers to the target of one ``out_of`` it too."""
+    back = into.where(F.col("kind").isin(list(INCOMING))).select(F.col("dst").alias("at"), F.col("src").alias("to"), "kind", "ev", "res", "id", F.lit(False).alias("forward"))
+    return back.unionByName(out_of.where(F.col("kind").isin(list(PROVIDER))).select(F.col("src").alias("at"), F.col("dst").alias("to"), "kind", "ev", "res", "id", F.lit(True).alias("forward")))
 
 
 def impact(edges: DataFrame, start: DataFrame, depth: int = 4, *, terminal_kinds: tuple[str, ...] = ("tests", "documents", "decides"), terminal: DataFrame | None = None) -> DataFrame:
@@ -97,11 +114,12 @@ def impact(edges: DataFrame, start: DataFrame, depth: int = 4, *, terminal_kinds
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError("depth is 1 to 8")
-    steps = cut(impact_steps(edges))  # the edges are read once for all rounds
     kind = edges.schema["id"].dataType.simpleString()
     best = start.select("node", F.lit(0).alias("weakest"), F.lit(0).alias("flagged"), F.lit(0).alias("hops"), F.lit(0).alias("max_res"), F.array().cast(f"array<{kind}>").alias("via"), F.lit(False).alias("provided"), F.lit(False).alias("ends"))
-    front = best
+    front, size = best, start.count()
     for _ in range(depth):
+        on = front.where("NOT ends")
+        steps = cut(impact_steps(touching(edges, on, size, "dst"), touching(edges, on, size, "src")))
         s = steps.join(front.where("NOT ends"), steps["at"] == front["node"]).where(~(F.col("provided") & ~F.col("forward") & F.col("kind").isin(list(PROVIDER))))
         n = s.select(F.col("to").alias("node"), F.greatest("weakest", "ev").alias("weakest"), (F.col("flagged") + ((F.col("ev") >= 3) | (F.col("res") > 0)).cast("int")).alias("flagged"), (F.col("hops") + 1).alias("hops"),
                      F.greatest("max_res", "res").alias("max_res"), F.concat("via", F.array("id")).alias("via"), F.col("forward").alias("provided"), (F.col("kind").isin(list(terminal_kinds)) & ~F.col("forward")).alias("ends"))
@@ -112,7 +130,8 @@ def impact(edges: DataFrame, start: DataFrame, depth: int = 4, *, terminal_kinds
         both = best.withColumn("_old", F.lit(1)).unionByName(n.withColumn("_old", F.lit(0)))
         new = cut(both.groupBy("node").agg(F.min_by(F.struct(*[c for c in both.columns if c != "node"]), F.struct("weakest", "flagged", "hops", "via", F.col("_old") * -1)).alias("b")).select("node", "b.*"))
         front, best = new.where("_old = 0").drop("_old"), new.drop("_old")
-        if front.isEmpty():
+        size = front.count()
+        if not size:
             break
     return best.where("hops > 0").drop("ends", "provided")
 
@@ -135,19 +154,20 @@ def flow(edges: DataFrame, start: DataFrame, goal: DataFrame | None, depth: int,
     All simple paths of ``depth`` steps are followed except those that can no
     longer be among the best ``n`` found, whose key only grows.
     """
-    e = best_parallel(edges).select("src", "dst", "ev", "res", "id")
     kind, ids = edges.schema["src"].dataType.simpleString(), edges.schema["id"].dataType.simpleString()
     front = start.select(F.array(F.col("node").cast(kind)).alias("path"), F.array().cast(f"array<{ids}>").alias("ids"), F.lit(0).alias("weakest"), F.lit(0).alias("flagged"), F.lit(0).alias("hops"))
-    done = None
+    done, goal = None, goal if goal is None else goal.select(F.col("node").alias("at")).distinct()
     order = ("weakest", "flagged", "hops", "ids")
     for _ in range(depth):
+        ends = cut(front.select(F.element_at("path", -1).alias("node")).distinct())
+        e = cut(best_parallel(touching(edges, ends, ends.count(), "src")).select("src", "dst", "ev", "res", "id"))  # all edges of a pair have its source
         j = front.withColumn("at", F.element_at("path", -1)).join(e, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         front = cut(j.select(F.concat("path", F.array("dst")).alias("path"), F.concat("ids", F.array("id")).alias("ids"), F.greatest("weakest", "ev").alias("weakest"), (F.col("flagged") + ((F.col("ev") >= 3) | (F.col("res") > 0)).cast("int")).alias("flagged"), (F.col("hops") + 1).alias("hops")))
-        hit = front if goal is None else front.withColumn("at", F.element_at("path", -1)).join(goal.select(F.col("node").alias("at")), "at", "left_semi").drop("at")
+        hit = front if goal is None else front.withColumn("at", F.element_at("path", -1)).join(goal, "at", "left_semi").drop("at")
         done = hit if done is None else done.unionByName(hit)
         done = cut(done.orderBy(*order).limit(n))
         if goal is not None:
-            front = front.withColumn("at", F.element_at("path", -1)).join(goal.select(F.col("node").alias("at")), "at", "left_anti").drop("at")
+            front = front.withColumn("at", F.element_at("path", -1)).join(goal, "at", "left_anti").drop("at")
             worst = done.agg(F.count("*").alias("c"), F.max(F.struct("weakest", "flagged")).alias("w")).first()
             if worst["c"] == n:
                 front = front.where((F.col("weakest") < worst["w"]["weakest"]) | ((F.col("weakest") == worst["w"]["weakest"]) & (F.col("flagged") <= worst["w"]["flagged"])))

@@ -133,12 +133,15 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     s = table(spark, d, "supplier")
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+
+    def edge(df: DataFrame, a: tuple[str, str], b: tuple[str, str], kind: str, ev, res) -> DataFrame:  # one projection, so that a semi join on an end goes below it
+        return df.select(name(*a).alias("src"), name(*b).alias("dst"), F.lit(kind).alias("kind"), ev.alias("ev"), res.alias("res"), F.concat_ws(">", name(*a), name(*b)).alias("id"))
+
     ev = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 2).otherwise(3)
-    e = o.select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"), F.lit("calls").alias("kind"), F.lit(0).alias("ev"), F.lit(0).alias("res"))
-    e = e.unionByName(li.groupBy("l_orderkey", "l_partkey").agg(F.min(ev).alias("ev")).select(name("o", "l_orderkey").alias("src"), name("p", "l_partkey").alias("dst"), F.lit("reads").alias("kind"), "ev", F.lit(0).alias("res")))
-    e = e.unionByName(li.groupBy("l_partkey", "l_suppkey").agg(F.min(ev).alias("ev"), F.min((F.col("l_quantity") > 45).cast("int")).alias("res")).select(name("p", "l_partkey").alias("src"), name("s", "l_suppkey").alias("dst"), F.lit("exposes").alias("kind"), "ev", "res"))
-    e = e.unionByName(s.select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"), F.lit("tests").alias("kind"), F.lit(2).alias("ev"), F.lit(0).alias("res")))
-    return e.withColumn("id", F.concat_ws(">", "src", "dst"))
+    e = edge(o, ("c", "o_custkey"), ("o", "o_orderkey"), "calls", F.lit(0), F.lit(0))
+    e = e.unionByName(edge(li.groupBy("l_orderkey", "l_partkey").agg(F.min(ev).alias("ev")), ("o", "l_orderkey"), ("p", "l_partkey"), "reads", F.col("ev"), F.lit(0)))
+    e = e.unionByName(edge(li.groupBy("l_partkey", "l_suppkey").agg(F.min(ev).alias("ev"), F.min((F.col("l_quantity") > 45).cast("int")).alias("res")), ("p", "l_partkey"), ("s", "l_suppkey"), "exposes", F.col("ev"), F.col("res")))
+    return e.unionByName(edge(s, ("s", "s_suppkey"), ("n", "s_nationkey"), "tests", F.lit(2), F.lit(0)))
 
 
 _E = """li AS (SELECT * FROM lineitem), ev AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 3 END AS ev FROM li),

@@ -114,6 +114,29 @@ def test_impact_does_not_cross_to_other_producers(spark):
     assert {r["node"] for r in G.impact(e, node("t"), 4).collect()} == {"a", "b", "c", "d", "x_test", "z"}
 
 
+def test_a_level_asks_only_for_edges_at_its_frontier(spark, monkeypatch):
+    from tessera.plans import graphs as P
+
+    e = spark.createDataFrame([(s, d, k, ev, 0, f"{s}>{k}>{d}") for s, d, k, ev in EDGES], "src string, dst string, kind string, ev int, res int, id string")
+    start, goal = (spark.createDataFrame([(n,)], "node string") for n in ("service", "audit_log"))
+    every = lambda: [sorted(map(tuple, df.collect()), key=str) for df in (G.walk_edges(e, start, 3), G.walk_edges(e, start, 3, direction="in"), G.walk_edges(e, start, 3, direction="both"), G.bfs(e, start, 3), G.impact(e, start, 4), G.flow(e, start, goal, 4, 3), G.flow(e, start, None, 4, 30))]
+    small = every()
+    monkeypatch.setattr(G, "BROADCAST_NODES", 0)
+    assert every() == small and all(small[i] for i in (0, 1, 2, 3, 4, 6))
+    monkeypatch.undo()
+    seen = []
+    cut = G.cut
+    monkeypatch.setattr(G, "cut", lambda df: seen.append(cut(df)) or seen[-1])
+    edges = P.graph_edges(spark, "/root/testdata/sf0.001")
+    one = spark.createDataFrame([("s3",)], "node string")
+    for df in (G.walk_edges(edges, one, 1, direction="both"), G.bfs(edges, one, 1), G.impact(edges, one, 1), G.flow(edges, one, None, 1, 10)):
+        df.collect()
+    assert seen and max(df.count() for df in seen) < edges.count() / 10  # what is written has to do with the frontier
+    for end in ("src", "dst"):  # and what is shuffled too: the semi join is below the aggregates
+        plan = G.touching(edges, one, 1, end)._jdf.queryExecution().optimizedPlan().toString()
+        assert all("Join LeftSemi" in part.split("Relation")[0] for part in plan.split("Aggregate [l_")[1:]) and plan.count("Aggregate [l_") == 2
+
+
 def test_nearest_vectors_are_ordered_before_they_are_rounded(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0001])], "vec_id long, embedding array<double>")
     assert [r["id"] for r in R.knn(v, [1.0, 0.0001], 2).collect()] == [3, 1]
