@@ -178,14 +178,21 @@ def resolve_names(uses: DataFrame, defs: DataFrame, imports: DataFrame) -> DataF
 
     The first scope with any decides; more than ``MAX_CANDIDATES`` are none.
     uses: (file, name); defs: (file, name, symbol); imports: (file, target).
-    Only the used names' definitions are joined, scope by scope.
+    Only the used names' definitions are joined, scope by scope.  A directory's
+    definitions of a name are listed before they meet its uses, and only where
+    they are few enough: a directory is the last scope, so many of them there are
+    as good as none.  (Where a file defines the name itself its own scope decides,
+    so its directory's list may hold its own symbols.)
     """
     u = uses.select("file", "name").distinct()
     dir_ = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
     own = u.join(defs, ["file", "name"]).select("file", "name", "symbol", F.lit(0).alias("scope"))
     imported = u.join(imports, "file").join(defs.select(F.col("file").alias("target"), "name", "symbol"), ["target", "name"]).select("file", "name", "symbol", F.lit(1).alias("scope"))
-    near = u.withColumn("d", dir_("file")).join(defs.select(dir_("file").alias("d"), F.col("file").alias("other"), "name", "symbol"), ["d", "name"]).where("other <> file").select("file", "name", "symbol", F.lit(2).alias("scope"))
-    g = own.unionByName(imported).unionByName(near).groupBy("file", "name", "scope").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+    d = defs.select(dir_("file").alias("d"), "name", "symbol").distinct()
+    few = d.groupBy("d", "name").agg(F.count("symbol").alias("n")).where(F.col("n") <= MAX_CANDIDATES).select("d", "name")
+    listed = d.join(few, ["d", "name"], "left_semi").groupBy("d", "name").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+    near = u.withColumn("d", dir_("file")).join(listed, ["d", "name"]).select("file", "name", F.lit(2).alias("scope"), "symbols")
+    g = own.unionByName(imported).groupBy("file", "name", "scope").agg(F.array_sort(F.collect_set("symbol")).alias("symbols")).unionByName(near)
     best = g.groupBy("file", "name").agg(F.min_by(F.struct("symbols", "scope"), "scope").alias("b")).select("file", "name", "b.symbols", "b.scope")
     scope = F.element_at(F.array(*map(F.lit, ("file", "import", "directory"))), F.col("scope") + 1)
     return best.where(F.size("symbols") <= MAX_CANDIDATES).select("file", "name", "symbols", scope.alias("scope"), (F.size("symbols") > 1).alias("ambiguous"))

@@ -339,6 +339,35 @@ def test_symbols_and_names(spark):
     assert {r["spec"]: r["target"] for r in i.collect()} == {"../b": "src/b/index.ts", "./y": "src/a/y.js"}
 
 
+def test_a_crowded_directory_is_not_joined_with_its_uses(spark):
+    n, text = 3000, "file string, name string, symbol string"
+    uses = spark.range(n).select(F.concat(F.lit("d/f"), "id").alias("file"), F.lit("busy").alias("name")).unionByName(spark.createDataFrame([("d/f1", "few"), ("d/f2", "few"), ("d/f1", "none")], "file string, name string"))
+    defs = spark.range(1, n).select(F.concat(F.lit("d/f"), "id").alias("file"), F.lit("busy").alias("name"), F.concat(F.lit("s"), "id").alias("symbol")).unionByName(spark.createDataFrame([("d/f1", "few", "a"), ("d/f3", "few", "b"), ("d/f4", "few", "b")], text))
+    df = C.resolve_names(uses, defs, spark.createDataFrame([("d/f0", "d/f9")], "file string, target string"))
+    got = {(r["file"], r["name"]): (r["symbols"], r["scope"]) for r in df.collect()}
+    assert got.pop(("d/f0", "busy")) == (["s9"], "import") and got.pop(("d/f1", "few")) == (["a"], "file") and got.pop(("d/f2", "few")) == (["a", "b"], "directory")
+    assert got == {(f"d/f{i}", "busy"): ([f"s{i}"], "file") for i in range(1, n)}
+    rows = output_rows(df)
+    assert rows and max(rows) <= 3 * n  # not n * n
+
+
+def output_rows(df):
+    """The numbers of output rows of a plan's steps, run here."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+
+    def walk(p):
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(p.plan())
+        n = p.metrics().get("numOutputRows")
+        return ([n.get().value()] if n.isDefined() else []) + [x for i in range(p.children().size()) for x in walk(p.children().apply(i))]
+
+    return walk(plan)
+
+
 def test_hash_embeddings_are_unit_and_stable():
     a, b = C.hash_embedding("cancel subscription"), C.hash_embedding("cancel the subscription")
     assert sum(x * x for x in a) == pytest.approx(1) and sum(x * y for x, y in zip(a, b)) > 0.5 and C.hash_embedding("!!") == C.hash_embedding("!!") and any(C.hash_embedding(None))
