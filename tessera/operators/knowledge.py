@@ -46,16 +46,21 @@ def canonical_body(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
 
 
-def conflicts(records: DataFrame) -> DataFrame:
+def conflicts(records: DataFrame, *, spread: int = 16) -> DataFrame:
     """(subject, first, second): accepted records of one subject with overlapping scopes and other bodies.
 
     Equal bodies in equal scopes agree, so a subject's pairs are formed between
     distinct (scope, body) groups only, and each group's records are listed.
+    The groups are small and the pairs are not, so a subject's groups are dealt
+    into ``spread`` keys on one side and copied to each on the other, in a fixed
+    number of partitions: sized by their bytes they would be pairs of few tasks.
     """
     r = records.where("state = 'accepted'").withColumn("h", F.sha2(canonical_body(F.col("body")), 256))
     g = r.groupBy("subject", "scope_kind", "workspace", "project", "h").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    a, b = g.alias("a"), g.alias("b")
-    j = a.join(b, (F.col("a.subject") == F.col("b.subject")) & (F.col("a.h") < F.col("b.h"))).where(scopes_overlap("a", "b"))
+    parts = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * records.sparkSession.sparkContext.defaultParallelism)
+    a = g.withColumn("k", F.pmod(F.xxhash64("scope_kind", "workspace", "project", "h"), F.lit(spread)).cast("int")).repartition(parts, "subject", "k").alias("a")
+    b = g.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).repartition(parts, "subject", "k").alias("b")
+    j = a.join(b.hint("shuffle_hash"), (F.col("a.subject") == F.col("b.subject")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.h") < F.col("b.h"))).where(scopes_overlap("a", "b"))
     p = j.select(F.col("a.subject").alias("subject"), F.explode("a.ids").alias("x"), F.col("b.ids").alias("ids")).select("subject", "x", F.explode("ids").alias("y"))
     return p.select("subject", F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second"))
 

@@ -312,6 +312,33 @@ def test_knowledge(spark):
     assert got == {1: (True, ["symbol_removed:f"]), 2: (True, ["file_changed:p/a"]), 4: (True, ["file_deleted:p/gone"]), 6: (False, ["symbol_removed:f"])}
 
 
+def test_conflicts_of_one_subject_are_found_by_many_tasks(spark):
+    k = F.col("id")
+    r = spark.range(400).select(k, F.element_at(F.array(*map(F.lit, N.BREADTH[:3])), (k % 3 + 1).cast("int")).alias("scope_kind"), F.when(k % 3 != 0, F.concat(F.lit("w"), k % 2)).alias("workspace"), F.when(k % 3 == 2, F.concat(F.lit("p"), k % 4)).alias("project"), F.concat(F.lit("s"), k % 1).alias("subject"), F.concat(F.lit("b"), k % 37).alias("body"), F.lit("accepted").alias("state"))
+    got = [tuple(x) for x in N.conflicts(r).select("first", "second").collect()]
+    wide = lambda i: (i % 3, i % 2 if i % 3 else None, i % 4 if i % 3 == 2 else None)
+    meet = lambda a, b: a[0] == 0 or b[0] == 0 or (a[0] != b[0] and a[1] == b[1]) or a == b
+    want = {(i, j) for j in range(400) for i in range(j) if i % 37 != j % 37 and meet(wide(i), wide(j))}
+    assert len(got) == len(want) and set(got) == want
+    tasks = N.conflicts(r).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(tasks) >= 4 and max(t["count"] for t in tasks) < len(want) / 2
+
+
+def test_token_counts_are_those_of_the_tokens_and_runs_are_split_once(spark, monkeypatch):
+    texts = [None, "", "a", "parseHTTPRequest2 foo_bar İstanbul x1 a1b2 foo foo FOO", "e\u0301te\u0301 12345678901 " + "a" * 64 + " " + "b" * 65 + " " + "C" * 300, "z \u00e7a_\u0131\u015f\u0131k IOError"]
+    direct = [[x for r in X._RUN.findall(t or "") for x in X.run_tokens(r)] for t in texts]
+    assert [X.tokens(t) for t in texts] == [X.tokens(t) for t in texts] == direct
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = df.select("i", X.token_counts("text").alias("c"), X.tokenize("text").alias("t")).orderBy("i").collect()
+    assert [(r["c"]["n_tokens"], r["c"]["n_distinct"]) for r in got] == [(len(t), len(set(t))) for t in direct] and [r["t"] for r in got] == direct
+    calls = []
+    run = X.run_tokens
+    monkeypatch.setattr(X, "run_tokens", lambda r: calls.append(r) or run(r))
+    monkeypatch.setattr(X, "_memo", {})
+    X.tokens("someName other " * 1000)
+    assert calls == ["someName"]
+
+
 def test_bootstrap_cuts_what_is_left(spark):
     i = spark.createDataFrame([("q", 1, 0, 0, "a", 1, "x" * 400), ("q", 2, 1, 0, "a", 1, "x" * 4000), ("q", 3, 5, 0, "a", 9, "x" * 40), ("q", 4, 2, 0, "a", 1, "x" * 4)], "q string, id int, tier int, breadth int, subject string, at int, text string").withColumn("updated_at", F.timestamp_seconds("at"))
     assert [(r["id"], r["tokens"], r["truncated"]) for r in N.bootstrap(i, 150, by="q").collect()] == [(1, 100, False), (2, 50, True)]
