@@ -59,8 +59,25 @@ def run_tokens(run: str) -> list[str]:
     return out
 
 
+_PLAIN = re.compile("[A-Z]?[a-z]+|[A-Z]+")  # a run that is one part, and one token
+MEMO = 200_000  # runs whose tokens are kept in a process; those of more than 64 characters are not
+_memo: dict[str, tuple[str, ...]] = {}
+
+
+def _tokens_of(run: str) -> tuple[str, ...]:
+    """``run_tokens``, remembered: a text's runs are the same few again and again."""
+    found = _memo.get(run)
+    if found is None:
+        found = ((run.lower(),) if 2 <= len(run) <= 64 else ()) if _PLAIN.fullmatch(run) else tuple(run_tokens(run))
+        if len(run) <= 64:
+            if len(_memo) >= MEMO:
+                _memo.clear()
+            _memo[run] = found
+    return found
+
+
 def tokens(text: str | None) -> list[str]:
-    return [t for r in _RUN.findall(text or "") for t in run_tokens(r)]
+    return [t for r in map(_tokens_of, _RUN.findall(text or "")) for t in r]
 
 
 def query_tokens(text: str) -> list[str]:
@@ -75,6 +92,23 @@ def tokenize(text: pd.Series) -> pd.Series:
     return text.map(tokens)
 
 
+@F.pandas_udf(T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_distinct", T.LongType())]))
+def token_counts(text: pd.Series) -> pd.DataFrame:
+    """How many tokens and distinct tokens ``tokenize`` gives; the tokens stay in the worker."""
+    def count(t: str | None) -> tuple[int, int]:
+        n, distinct = 0, set()
+        runs: dict[str, int] = {}
+        for r in _RUN.findall(t or ""):
+            runs[r] = runs.get(r, 0) + 1
+        for r, k in runs.items():
+            found = _tokens_of(r)
+            n += k * len(found)
+            distinct.update(found)
+        return n, len(distinct)
+
+    return pd.DataFrame([count(t) for t in text], columns=["n_tokens", "n_distinct"])
+
+
 def simple_tokens(text: Column) -> Column:
     """The ASCII variant in SQL: lower-case runs of letters, digits and ``_`` of 2 to 64 characters."""
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0)), lambda t: F.length(t).between(2, 64))

@@ -325,20 +325,30 @@ def test_conflicts_of_one_subject_are_found_by_many_tasks(spark):
 
 
 def test_token_counts_are_those_of_the_tokens_and_runs_are_split_once(spark, monkeypatch):
-    texts = [None, "", "a", "parseHTTPRequest2 foo_bar İstanbul x1 a1b2 foo foo FOO", "e\u0301te\u0301 12345678901 " + "a" * 64 + " " + "b" * 65 + " " + "C" * 300, "z \u00e7a_\u0131\u015f\u0131k IOError"]
-    direct = [[x for r in X._RUN.findall(t or "") for x in X.run_tokens(r)] for t in texts]
-    assert [X.tokens(t) for t in texts] == [X.tokens(t) for t in texts] == direct
+    from tessera.functions import text as TX
+
+    texts = [None, "Word WORD A Ab aB ABc", "", "a", "parseHTTPRequest2 foo_bar İstanbul x1 a1b2 foo foo FOO", "e\u0301te\u0301 12345678901 " + "a" * 64 + " " + "b" * 65 + " " + "C" * 300, "z \u00e7a_\u0131\u015f\u0131k IOError"]
+    direct = [[x for r in TX._RUN.findall(t or "") for x in TX.run_tokens(r)] for t in texts]
+    assert [TX.tokens(t) for t in texts] == [TX.tokens(t) for t in texts] == direct
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    got = df.select("i", X.token_counts("text").alias("c"), X.tokenize("text").alias("t")).orderBy("i").collect()
+    got = df.select("i", TX.token_counts("text").alias("c"), TX.tokenize("text").alias("t")).orderBy("i").collect()
     assert [(r["c"]["n_tokens"], r["c"]["n_distinct"]) for r in got] == [(len(t), len(set(t))) for t in direct] and [r["t"] for r in got] == direct
     calls = []
-    run = X.run_tokens
-    monkeypatch.setattr(X, "run_tokens", lambda r: calls.append(r) or run(r))
-    monkeypatch.setattr(X, "_memo", {})
-    X.tokens("someName other " * 1000)
+    run = TX.run_tokens
+    monkeypatch.setattr(TX, "run_tokens", lambda r: calls.append(r) or run(r))
+    monkeypatch.setattr(TX, "_memo", {})
+    TX.tokens("someName other " * 1000)
     assert calls == ["someName"]
 
 
+def test_tokenize_code_deals_out_a_file_of_one_row_group(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("someName "), "id").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["tokenize_code"](spark, str(tmp_path)).withColumn("p", F.spark_partition_id()).collect()
+    assert len({r["p"] for r in got}) > 4 and sorted(r["doc_id"] for r in got) == list(range(400)) and all(r["n_tokens"] in (3, 4) for r in got)
+
+
 def test_bootstrap_cuts_what_is_left(spark):
     i = spark.createDataFrame([("q", 1, 0, 0, "a", 1, "x" * 400), ("q", 2, 1, 0, "a", 1, "x" * 4000), ("q", 3, 5, 0, "a", 9, "x" * 40), ("q", 4, 2, 0, "a", 1, "x" * 4)], "q string, id int, tier int, breadth int, subject string, at int, text string").withColumn("updated_at", F.timestamp_seconds("at"))
     assert [(r["id"], r["tokens"], r["truncated"]) for r in N.bootstrap(i, 150, by="q").collect()] == [(1, 100, False), (2, 50, True)]
